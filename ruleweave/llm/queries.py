@@ -26,6 +26,13 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents(spark, out)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents, over all documents."""
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tie")
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of nearly equal bytes."""
     from . import sharding
@@ -36,7 +43,35 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op3_near_duplicates": op3_near_duplicates,
     "op10_shards": op10_shards,
 }
 
-SQL: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_SQL = rf"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 OR w IS NULL THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
+one AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(CAST(list_sort(s) AS VARCHAR)) AS h, s FROM sets),
+reps AS MATERIALIZED (SELECT min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s, h FROM one WHERE n > 0 GROUP BY h),
+terms AS MATERIALIZED (SELECT id, n, unnest(s) AS t FROM reps),
+links AS MATERIALIZED (
+  SELECT a.id AS x, b.id AS y FROM terms a JOIN terms b ON a.t = b.t AND a.id < b.id
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, root) AS (
+  SELECT id, id FROM reps UNION SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.node AND r.root < e.y),
+comp AS MATERIALIZED (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT o.doc_id, o.n AS n_shingles, coalesce(c.root, o.doc_id) AS component_id,
+  coalesce(c.root, o.doc_id) = o.doc_id AS kept
+FROM one o LEFT JOIN reps r ON r.h = o.h AND o.n > 0 LEFT JOIN comp c ON c.node = r.id
+"""
+
+SQL: dict[str, str] = {
+    "op3_near_duplicates": NEAR_SQL,
+}
