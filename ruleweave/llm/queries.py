@@ -33,6 +33,20 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tie")
 
 
+def op4_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    from . import packing
+
+    return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    from . import decontam
+
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of nearly equal bytes."""
     from . import sharding
@@ -44,6 +58,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_packed": op4_packed,
+    "op8_contamination": op8_contamination,
     "op10_shards": op10_shards,
 }
 
@@ -72,6 +88,26 @@ SELECT o.doc_id, o.n AS n_shingles, coalesce(c.root, o.doc_id) AS component_id,
 FROM one o LEFT JOIN reps r ON r.h = o.h AND o.n > 0 LEFT JOIN comp c ON c.node = r.id
 """
 
+CONTAMINATION_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(w), 10) AS n,
+    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS phrase
+  FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS MATERIALIZED (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+m AS MATERIALIZED (SELECT dw.doc_id, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.phrase = bw.phrase AND dw.n = bw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op3_near_duplicates": NEAR_SQL,
+    "op8_contamination": CONTAMINATION_SQL,
 }
