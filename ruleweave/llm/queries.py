@@ -40,6 +40,20 @@ def op4_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    from . import langid
+
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    from . import toxicity
+
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tie")
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     from . import decontam
@@ -59,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_packed": op4_packed,
+    "op5_languages": op5_languages,
+    "op6_toxicity": op6_toxicity,
     "op8_contamination": op8_contamination,
     "op10_shards": op10_shards,
 }
