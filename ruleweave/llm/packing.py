@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .scratch import cut, small
 from .textnp import slices
-from .tokens import TokenCoder, bits_for, pack, unpack
+from .tokens import bits_for, coder_for, pack, unpack
 
 CAPACITY = 2048
 
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int
         part, coder, seen = TaskContext.get().partitionId(), None, defaultdict(int)
         last = np.array([end], dtype="<u4")
         for batch in it:
-            coder = coder or TokenCoder(tokenizer, lower)
+            coder = coder or coder_for(tokenizer, lower)
             bits = bits_for(coder.vocabulary)
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for i, j in slices(texts):
@@ -153,7 +153,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, lower: bool = True, capacity
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal bits
-        bits = bits or bits_for(TokenCoder(tokenizer, lower).vocabulary)
+        bits = bits or bits_for(coder_for(tokenizer, lower).vocabulary)
         keys, lo, first, per, offset = made.value
         for b in it:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy() + b.column("base").to_numpy()

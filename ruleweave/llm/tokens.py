@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -94,6 +95,12 @@ class TokenCoder:
         return [self.whole([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def coder_for(file: str, lower: bool) -> TokenCoder:
+    """One coder for each vocabulary in a worker process, so that what it remembers serves later tasks."""
+    return TokenCoder(file, lower)
+
+
 def bits_for(vocabulary: int) -> int:
     """The least width that holds every id below `vocabulary`."""
     return max(1, int(vocabulary - 1).bit_length())
@@ -136,7 +143,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, lower: bool = False, end: i
             return pa.RecordBatch.from_pylist([{"part": part, "block": number, "first": first, "n_ids": n, "bits": bits, "doc_ids": keys, "offsets": offsets, "ids": ids}], schema)
 
         for b in batches:
-            coder = coder or TokenCoder(tokenizer, lower)
+            coder = coder or coder_for(tokenizer, lower)
             texts = b.column("text").to_pylist()
             for doc_id, coded in zip(b.column("doc_id").to_pylist(), (c for i, j in slices(texts) for c in coder.encode(texts[i:j])), strict=True):
                 held += (coded, ends)
