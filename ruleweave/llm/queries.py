@@ -26,6 +26,13 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents(spark, out)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, over all documents."""
     from . import minhash
@@ -61,6 +68,13 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent language-model scores of all documents."""
+    from . import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of nearly equal bytes."""
     from . import sharding
@@ -71,11 +85,13 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_main_text": op2_main_text,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_packed": op4_packed,
     "op5_languages": op5_languages,
     "op6_toxicity": op6_toxicity,
     "op8_contamination": op8_contamination,
+    "op9_lm_scores": op9_lm_scores,
     "op10_shards": op10_shards,
 }
 
