@@ -61,6 +61,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tie")
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as stored 8-bit audio, and its features."""
+    from . import audio
+
+    out = scratch.path(spark, "media")
+    audio.write_media(table(spark, sf_dir, "documents"), out)
+    return audio.described(spark.read.parquet(out), tensors=False).drop("segments")
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     from . import decontam
@@ -90,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packed": op4_packed,
     "op5_languages": op5_languages,
     "op6_toxicity": op6_toxicity,
+    "op7_audio": op7_audio,
     "op8_contamination": op8_contamination,
     "op9_lm_scores": op9_lm_scores,
     "op10_shards": op10_shards,
