@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kneser_ney import CharModel, Memo
-from .scratch import fold
+from .scratch import fold, rows_where
 from .textnp import NON_LETTER, Words, batches, sums
 from .training import sampled, word_counts
 
@@ -92,26 +92,31 @@ def fit(docs: DataFrame, folds: int = 5, per_language: int = DOCS) -> Languages:
     return Languages(model, mean, spread)
 
 
+def decisions(texts: list[str | None], known: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language number, score, rejected, entropy) of each text; the number after the last language is none."""
+    n = len(known.model.classes) if known.model else 0
+    words = Words(texts, NON_LETTER)
+    letters = np.array([bool(c) and (t.isascii() or any(map(str.isalpha, t))) for t, c in zip(texts, words.count().tolist(), strict=True)], dtype=bool)
+    best, score, entropy, out = np.full(len(texts), n), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), dtype=bool)
+    if n and letters.any():
+        h, chars = entropies(words, known)
+        lowest = h.min(axis=1)
+        belief = np.exp(-(h - lowest[:, None]) * np.log(10) * TEMPER * chars[:, None])
+        best = np.where(letters, h.argmin(axis=1), n)
+        score = np.where(letters, 1 / belief.sum(axis=1), 0)
+        entropy = np.where(letters, lowest, np.nan)
+        out = ~letters | (lowest > known.limit(np.minimum(best, n - 1), chars))
+    return best, score, out, entropy
+
+
 def predict(docs: DataFrame, languages: Languages) -> DataFrame:
     """doc_id, tie, lang_pred, score, rejected, entropy of docs(doc_id, tie, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        names = [*(known.model.classes if known.model else []), NONE]
+        names = [*(shared.value.model.classes if shared.value.model else []), NONE]
         for batch, texts in batches(it):
-            words = Words(texts, NON_LETTER)
-            letters = np.array([bool(n) and (t.isascii() or any(map(str.isalpha, t))) for t, n in zip(texts, words.count().tolist(), strict=True)], dtype=bool)
-            best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            entropy, out = np.full(len(texts), np.nan), np.ones(len(texts), dtype=bool)
-            if known.model and letters.any():
-                h, chars = entropies(words, known)
-                best = np.where(letters, h.argmin(axis=1), best)
-                belief = np.exp(-(h - h.min(axis=1, keepdims=True)) * np.log(10) * TEMPER * chars[:, None])
-                score = np.where(letters, 1 / belief.sum(axis=1), 0)
-                lowest = h.min(axis=1)
-                entropy = np.where(letters, lowest, np.nan)
-                out = ~letters | (lowest > known.limit(np.minimum(best, len(names) - 2), chars))
+            best, score, out, entropy = decisions(texts, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array([names[b] for b in best]), pa.array(score), pa.array(out), pa.array(entropy, from_pandas=True)], ["doc_id", "tie", "lang_pred", "score", "rejected", "entropy"])
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, lang_pred string, score double, rejected boolean, entropy double")
@@ -122,3 +127,13 @@ def identify(docs: DataFrame, folds: int = 5, text: str = "text", key: str = "do
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
     found = predict(slim, fit(slim, folds))
     return found.select("doc_id", "tie", (fold("doc_id", folds) == 0).alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+
+
+def recognised(docs: DataFrame, folds: int = 5, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """The rows of `docs` that are not rejected, with all their columns; all of them where nothing can be learnt."""
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    known = fit(slim, folds)
+    if known.model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    return rows_where(docs, lambda texts: ~decisions(texts, shared.value)[2], text)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,24 @@ BROADCAST_ROWS = 200_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast if it has at most `rows` rows (it should be a written table); else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, dropped: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose id and text's hash are not among `dropped` (doc_id, tie), a written table."""
+    out = small(dropped.select(F.col("doc_id").alias("dropped_id"), F.col("tie").alias("dropped_tie")))
+    tie = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    return docs.join(out, docs[key].cast("long").eqNullSafe(out["dropped_id"]) & (tie == out["dropped_tie"]), "left_anti")
+
+
+def rows_where(docs: DataFrame, decide: Callable[[list], np.ndarray], text: str = "text") -> DataFrame:
+    """Rows of `docs` for which `decide(texts)` is true, with all their columns."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .textnp import slices
+
+        for b in it:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            for i, j in slices(texts):
+                yield b.slice(i, j - i).filter(pa.array(decide(texts[i:j]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

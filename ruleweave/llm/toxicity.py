@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kneser_ney import CharModel, Memo
-from .scratch import fold
+from .scratch import fold, rows_where
 from .textnp import NON_LETTER, Words, batches
 from .training import sampled, word_counts
 
@@ -165,3 +165,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, text: str = "te
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
     found = score(slim, fit(slim, labels, folds))
     return found.select("doc_id", "tie", (fold("doc_id", folds) == 0).alias("held_out"), "score", "predicted")
+
+
+def ordinary(docs: DataFrame, labels: DataFrame, folds: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that are not predicted to be toxic, with all their columns."""
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    model = fit(slim, labels, folds)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_where(docs, lambda texts: shared.value.score(shared.value.evidence(Words(texts, NON_LETTER))) < 0.5, text)
