@@ -1,12 +1,71 @@
-"""A training corpus from raw documents: each stage works on what the one before has kept."""
+"""A training corpus from raw documents.
+
+Five stages, each on what the one before has kept: toxic documents go, documents of
+no known language go, one document of each group of near duplicates stays, documents
+with passages of the benchmark go, and the rest is packed into sequences.  A stage
+takes (spark, docs, sf_dir) and returns a DataFrame with the columns of `docs`; the
+last one returns packed pieces.
+
+Rows without an id are kept or dropped by their text like others; of near duplicates
+without any id, exact copies alone are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ruleweave.llm import decontam, langid, minhash, packing, toxicity
+from ruleweave.llm.queries import tokenizer_file
+from ruleweave.llm.scratch import cut, table, without
+
+
+def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    return toxicity.ordinary(docs, table(spark, sf_dir, "labels"))
+
+
+def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language."""
+    return langid.recognised(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id."""
+    found = cut(minhash.near_duplicates(docs), "near-duplicates")
+    stays = F.col("kept") | (F.col("doc_id").isNull() & F.col("component_id").isNull())
+    kept = without(docs, cut(found.where(~stays).select("doc_id", "tie").distinct(), "repeated"))
+    if found.where(stays).groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, cut(found.where("contaminated").select("doc_id", "tie").distinct(), "contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their token ids and places in sequences."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", ordinary),
+    ("language", recognised),
+    ("near_duplicates", unrepeated),
+    ("decontamination", uncontaminated),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL has no models; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs
