@@ -7,11 +7,13 @@ in a bucket.  Equal sets are made one class first, so copies cost nothing later.
 
 No link is lost and no bucket is expanded into pairs:
 
-1. every class is compared, on full sets, with the least class of its buckets;
+1. each bucket names a pivot by chance, and every class is compared, on full sets,
+   with the pivot of another component that it meets in most of its buckets, PIVOTS
+   times over;
 2. a bucket whose members are then in one component is done;
 3. classes of the other buckets are joined by an exact prefix filter: of two sets
-   with the wanted overlap, the rarest few shingles of each must share one.  Only
-   shingles that several components have can make a pair.
+   with the wanted overlap, the rarest few shingles of each must share one, early enough
+   in both.  Only shingles that several components have can make a pair.
 
 At ROWS = 6 and BANDS = 32 two sets of similarity 0.85 share no bucket with a
 probability of 3e-7.  Sets are compared as 64-bit shingle hashes; a class is named
@@ -41,6 +43,9 @@ WIDTH = 5
 SHARE = 85
 ROWS = 6
 BANDS = 32
+PIVOTS = 2
+#: 64-bit words of the parity map of a set.
+MAP = 16
 PERMUTATIONS = ROWS * BANDS // 2
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7919))
@@ -101,15 +106,29 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tie long, n long, a long, b long, bands array<bigint>")
 
 
+def parity_maps(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set 64 * MAP bits: whether an odd number of its members falls on the bit.
+
+    Two sets' maps differ in no more bits than the sets differ in members.
+    """
+    n, width = len(at) - 1, 64 * MAP
+    spot = np.repeat(np.arange(n) * width, np.diff(at)) + (sets & U(width - 1)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, width), axis=1, bitorder="little").view(np.int64)
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """a, n, shingles of each row of docs(a, text)."""
+    """a, n, shingles, m0 ... of each row of docs(a, text): the set and its parity map."""
+    names = [f"m{i}" for i in range(MAP)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it, 1 << 20):
             sets, at = distinct(*shingles(Words(texts), WIDTH))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["a", "n", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
+            maps = [pa.array(m) for m in parity_maps(sets, at).T]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(np.diff(at)), lists, *maps], ["a", "n", "shingles", *names])
 
-    return docs.mapInArrow(run, "a long, n long, shingles array<bigint>")
+    return docs.mapInArrow(run, f"a long, n long, shingles array<bigint>, {', '.join(f'{m} long' for m in names)}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,16 +145,22 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Shingles of one component come first in the order of all shingles, then the
     rarer before the more frequent.  Similar sets share one within their first
-    n - ceil(SHARE n) + 1.
+    n - ceil(SHARE n) + 1, and after the first that they share, both must have
+    enough left for the overlap that their sizes ask for.  Nor may their parity maps
+    differ in more bits than such sets can differ in members.
     """
     terms = sets.join(nodes, "a").select("a", "comp", "n", F.explode("shingles").alias("term"))
     useful = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("term", "df")
     ranked = terms.join(useful, "term").select("a", "comp", "n", "term", F.row_number().over(Window.partitionBy("a").orderBy("df", "term")).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("a")).alias("useful"))
-    kept = ranked.where(f"n - useful + rank <= n - (({SHARE} * n + 99) div 100) + 1").select("a", "comp", "n", "term")
-    other = kept.toDF("a2", "comp2", "n2", "term2")
-    near = (F.col("term") == F.col("term2")) & (F.col("a") < F.col("a2")) & (F.col("comp") != F.col("comp2"))
-    sized = F.expr(f"100 * least(n, n2) >= {SHARE} * greatest(n, n2)")
-    return kept.join(other, near & sized).select(F.col("a").alias("x"), F.col("a2").alias("y")).distinct()
+    kept = ranked.select("a", "comp", "n", "term", F.expr("n - useful + rank - 1").alias("before")).where(f"before <= n - (({SHARE} * n + 99) div 100)")
+    maps = [f"m{i}" for i in range(MAP)]
+    kept = kept.join(sets.select("a", *maps), "a")
+    other = kept.toDF(*(f"{c}_of_y" for c in kept.columns))
+    near = (F.col("term") == F.col("term_of_y")) & (F.col("a") < F.col("a_of_y")) & (F.col("comp") != F.col("comp_of_y"))
+    sized = F.expr(f"100 * least(n, n_of_y) >= {SHARE} * greatest(n, n_of_y) and {100 + SHARE} * least(n - before, n_of_y - before_of_y) >= {SHARE} * (n + n_of_y)")
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_of_y"))) for m in maps), F.lit(0))
+    alike = (100 + SHARE) * apart <= (100 - SHARE) * (F.col("n") + F.col("n_of_y"))
+    return kept.join(other, near & sized & alike).select(F.col("a").alias("x"), F.col("a_of_y").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -147,7 +172,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = cut(rows.where("n > 0").groupBy("a", "b").agg(first.alias("at"), F.first("bands").alias("bands")).select("a", "at.doc_id", "at.tie", "bands"), "classes")
 
     buckets = classes.select("a", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("a").alias("lead"), F.max("a").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = buckets.groupBy("bucket").agg(F.min("a").alias("lead"), F.max("a").alias("last")).where("lead < last").select("bucket")
     members = cut(buckets.join(shared, "bucket"), "buckets")
 
     wanted = cut(members.select("a").distinct().join(classes.select("a", F.col("doc_id").alias("id"), F.col("tie").alias("t")), "a"), "wanted")
@@ -157,11 +182,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if named[0] > named[1]:  # rows that repeat id and text
         sets = cut(sets.dropDuplicates(["a"]), "full-sets")
 
-    leads = members.where("a <> lead").groupBy("a").agg(F.min("lead").alias("y")).withColumnRenamed("a", "x")
-    links = cut(confirmed(leads, sets), "links")
-    roots = components(links)
-
-    placed = members.join(roots, members.a == roots.node, "left").select("bucket", "a", F.coalesce("root", "a").alias("comp"))
+    roots, placed = None, members.select("bucket", "a", F.col("a").alias("comp"))
+    for turn in range(PIVOTS):
+        draw = F.struct(F.xxhash64("a", F.lit(turn)).alias("draw"), "comp", "a")
+        pivots = placed.groupBy("bucket").agg(F.min(draw).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", F.col("p.comp").alias("of"), F.col("p.a").alias("y"))
+        met = placed.join(pivots, "bucket").where("comp <> of").groupBy("a", "y").agg(F.count(F.lit(1)).alias("times"))
+        leads = met.groupBy("a").agg(F.max(F.struct("times", "y")).alias("m")).select(F.col("a").alias("x"), F.col("m.y").alias("y"))
+        links = cut(confirmed(leads, sets), "links")
+        roots = components(links if roots is None else roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(links))
+        placed = members.join(roots, members.a == roots.node, "left").select("bucket", "a", F.coalesce("root", "a").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     nodes = cut(placed.join(mixed, "bucket", "left_semi").select("a", "comp").distinct(), "unsettled")
     more = cut(confirmed(prefix_pairs(sets, nodes), sets), "links")
