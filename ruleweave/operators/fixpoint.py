@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -45,13 +46,14 @@ class Stats:
 class Evaluation:
     """One run of a program over source relations."""
 
-    def __init__(self, spark: SparkSession, program: Program, sources: dict[str, DataFrame], chase: str = RESTRICTED, max_rounds: int | None = None, timeout: float | None = None, una: bool = False, spelled: bool = False, start: dict[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, program: Program, sources: dict[str, DataFrame], chase: str = RESTRICTED, max_rounds: int | None = None, timeout: float | None = None, una: bool = False, spelled: bool = False, start: dict[str, DataFrame] | None = None, watch: Callable[[DataFrame], None] | None = None):
         if chase not in (SKOLEM, RESTRICTED):
             raise RuleError(f"unknown chase {chase!r}")
         program.check({p: len(d.columns) for p, d in sources.items()})
         self.spark, self.program, self.sources = spark, program, sources
         self.chase, self.max_rounds, self.una, self.spelled = chase, max_rounds, una, spelled
         self.until = time.monotonic() + timeout if timeout else None
+        self.watch = watch
         self.number = {id(r): i for i, r in enumerate(program.rules)}
         self.kinds = self._kinds(start or {})
         self.full: dict[str, Relation] = {}
@@ -174,6 +176,8 @@ class Evaluation:
             self.stats.derived += delta[p].rows
             if delta[p].rows:
                 self.stats.new.append((self.stats.rounds, p, delta[p].rows))
+                if self.watch:
+                    self.watch(delta[p].frame())
         return delta
 
     def _tick(self) -> None:
