@@ -130,8 +130,8 @@ def calibrate(model: Toxicity, evidence: np.ndarray, toxic: np.ndarray) -> None:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = DOCS) -> Toxicity | None:
     """Learn from docs(doc_id, text) with labels(doc_id, toxic) outside fold 0; None without both classes."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id", folds) > 0)
-    rows = docs.where(F.col("text").isNotNull()).join(marks, "doc_id").select("doc_id", "text", F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("class"))
-    sample = sampled(rows, per_class, "toxicity")
+    rows = marks.select("doc_id", F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("class"))
+    sample = sampled(rows, per_class, "toxicity", docs.where(F.col("text").isNotNull()).select("doc_id", "text"))
     words, counts, classes = word_counts(sample, NON_LETTER, contexts=True)
     if classes != [ORDINARY, TOXIC]:
         return None

@@ -14,18 +14,22 @@ from .scratch import cut
 from .textnp import Words, batches
 
 
-def sampled(rows: DataFrame, limit: int, tag: str) -> DataFrame:
+def sampled(rows: DataFrame, limit: int, tag: str, texts: DataFrame | None = None) -> DataFrame:
     """About `limit` rows of each `class`, or all, by a hash of the id; written.
 
-    Of each class a third serves to calibrate (`held`), the rest to count.
+    With `texts` (doc_id, text), `rows` are labels (doc_id, class), and those drawn,
+    about `limit` for each class, are broadcast to find their texts.  Of each class a third serves to calibrate (`held`), the rest to count.
     """
     sizes = {r[0]: r[1] for r in rows.groupBy("class").agg(F.count(F.lit(1))).collect()}  # one row for each class
     if not sizes:
-        return cut(rows.withColumn("held", F.lit(False)), tag)
+        return cut((rows if texts is None else texts.join(rows, "doc_id")).withColumn("held", F.lit(False)), tag)
     share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, limit / n))))
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / (1 << 20)).cast("double")
     held = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(3)) == 0
-    return cut(rows.where(draw < share[F.col("class")]).withColumn("held", held), tag)
+    drawn = rows.where(draw < share[F.col("class")])
+    if texts is not None:
+        drawn = texts.join(F.broadcast(drawn), "doc_id")
+    return cut(drawn.withColumn("held", held), tag)
 
 
 def word_counts(sample: DataFrame, separators: np.ndarray, contexts: bool = False) -> tuple[list[str], np.ndarray, list[str]]:
