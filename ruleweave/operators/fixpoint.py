@@ -46,14 +46,14 @@ class Stats:
 class Evaluation:
     """One run of a program over source relations."""
 
-    def __init__(self, spark: SparkSession, program: Program, sources: dict[str, DataFrame], chase: str = RESTRICTED, max_rounds: int | None = None, timeout: float | None = None, una: bool = False, spelled: bool = False, start: dict[str, DataFrame] | None = None, watch: Callable[[DataFrame], None] | None = None):
+    def __init__(self, spark: SparkSession, program: Program, sources: dict[str, DataFrame], chase: str = RESTRICTED, max_rounds: int | None = None, timeout: float | None = None, una: bool = False, spelled: bool = False, start: dict[str, DataFrame] | None = None, watch: Callable[[DataFrame], None] | None = None, prune: Callable[[DataFrame], DataFrame] | None = None):
         if chase not in (SKOLEM, RESTRICTED):
             raise RuleError(f"unknown chase {chase!r}")
         program.check({p: len(d.columns) for p, d in sources.items()})
         self.spark, self.program, self.sources = spark, program, sources
         self.chase, self.max_rounds, self.una, self.spelled = chase, max_rounds, una, spelled
         self.until = time.monotonic() + timeout if timeout else None
-        self.watch = watch
+        self.watch, self.prune = watch, prune
         self.number = {id(r): i for i, r in enumerate(program.rules)}
         self.kinds = self._kinds(start or {})
         self.full: dict[str, Relation] = {}
@@ -172,7 +172,7 @@ class Evaluation:
             rows = reduce(DataFrame.unionByName, found[p]).distinct()
             if self.full[p].rows:
                 rows = rows.join(self.full[p].frame().toDF(*(f"k{i}" for i in range(len(rows.columns)))), [F.col(f"c{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(rows.columns))], "left_anti")
-            delta[p] = self.full[p].add(rows, p)
+            delta[p] = self.full[p].add(self.prune(rows) if self.prune else rows, p)
             self.stats.derived += delta[p].rows
             if delta[p].rows:
                 self.stats.new.append((self.stats.rounds, p, delta[p].rows))
