@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .scratch import cut, small
 from .textnp import slices
-from .tokens import bits_for, coder_for, pack, unpack
+from .tokens import AT_ONCE, bits_for, coder_for, pack, unpack
 
 CAPACITY = 2048
 
@@ -112,7 +112,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int, text: str, key: str) -> DataFrame:
-    """doc_id, piece, start, length, ids (packed), part, rank: `rank` counts pieces of a length inside a part."""
+    """doc_id, piece, start, length, ids (packed), bits, part, rank: `rank` counts pieces of a length inside a part."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,21 +123,21 @@ def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int
             coder = coder or coder_for(tokenizer, lower)
             bits = bits_for(coder.vocabulary)
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, AT_ONCE):
                 rows = []
                 for doc_id, coded in zip(keys[i:j], coder.encode(texts[i:j]), strict=True):
                     ids = np.concatenate([np.frombuffer(coded, dtype="<u4"), last])
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         cutted = ids[start : start + capacity]
                         n = len(cutted)
-                        rows.append((doc_id, piece, start, n, pack(cutted, bits), part, seen[n]))
+                        rows.append((doc_id, piece, start, n, pack(cutted, bits), bits, part, seen[n]))
                         seen[n] += 1
                 columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids", "part", "rank"])
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids", "bits", "part", "rank"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, part int, rank long")
+    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, bits int, part int, rank long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, lower: bool = True, capacity: int = CAPACITY, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -149,20 +149,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, lower: bool = True, capacity
     bases = cut(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-bases")
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     made = spark.sparkContext.broadcast(plan(totals, capacity).arrays())
-    bits = None
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal bits
-        bits = bits or bits_for(coder_for(tokenizer, lower).vocabulary)
         keys, lo, first, per, offset = made.value
         for b in it:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy() + b.column("base").to_numpy()
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             step = rank - lo[at]
-            ids = [unpack(x, bits, 0, n).astype("<u4").tobytes() for x, n in zip(b.column("ids").to_pylist(), length.tolist(), strict=True)]
+            ids = [unpack(x, k, 0, n).astype("<u4").tobytes() for x, k, n in zip(b.column("ids").to_pylist(), b.column("bits").to_pylist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length")), pa.array(ids, pa.binary()), pa.array(first[at] + step // per[at]), pa.array(offset[at] + step % per[at] * length)], ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    placed = rows.join(small(bases), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", "rank", "base")
+    placed = rows.join(small(bases), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", "bits", "rank", "base")
     return placed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 

@@ -37,7 +37,9 @@ BYTE_PIECES = rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTER}0-9]
 WORD_PIECES = rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{LETTER}0-9]+"
 #: Only on these characters do Python's classes surely agree with the tokenizers'.
 PLAIN = re.compile(f"[\t\n\r\x20-\x7e¡-©«-¬®-±´¶-¸»¿×÷‐-‧€{LETTER[6:]}]*")
-CACHE = 1_000_000
+CACHE = 400_000
+#: Characters that are encoded at a time.
+AT_ONCE = 1 << 20
 
 
 class TokenCoder:
@@ -145,7 +147,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, lower: bool = False, end: i
         for b in batches:
             coder = coder or coder_for(tokenizer, lower)
             texts = b.column("text").to_pylist()
-            for doc_id, coded in zip(b.column("doc_id").to_pylist(), (c for i, j in slices(texts) for c in coder.encode(texts[i:j])), strict=True):
+            for doc_id, coded in zip(b.column("doc_id").to_pylist(), (c for i, j in slices(texts, AT_ONCE) for c in coder.encode(texts[i:j])), strict=True):
                 held += (coded, ends)
                 n += len(coded) // 4 + 1
                 keys.append(doc_id)
