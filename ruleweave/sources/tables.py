@@ -25,13 +25,13 @@ def parquet(spark: SparkSession, path: str, *names: str) -> DataFrame:
 
 def csv(spark: SparkSession, path: str, sep: str = ",", arity: int | None = None) -> DataFrame:
     """Quoted text without a header; an empty field is the empty constant, and every row has the same number of fields."""
-    read = spark.read.option("quote", '"').option("escape", '"').option("sep", "\t" if sep == "t" else sep).option("nullValue", "\0").option("emptyValue", "")
+    read = spark.read.option("quote", '"').option("escape", '"').option("sep", "\t" if sep == "t" else sep)
     arity = arity or len(read.csv(path).columns)
-    kinds = T.StructType([T.StructField(c, T.StringType()) for c in [*columns(arity), "more"]])
-    df = read.schema(kinds).option("mode", "PERMISSIVE").csv(path)
-    ragged = F.col("more").isNotNull() | F.col(f"c{arity - 1}").isNull()
-    checked = F.when(ragged, F.raise_error(F.lit(f"a row of {path} has not {arity} fields"))).otherwise(F.col("c0"))
-    return df.select(checked.alias("c0"), *columns(arity)[1:])
+    kinds = T.StructType([T.StructField(c, T.StringType()) for c in [*columns(arity), "_ragged"]])
+    df = read.schema(kinds).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_ragged").csv(path)
+    wrong = F.raise_error(F.concat(F.lit(f"not {arity} fields: "), "_ragged"))
+    first = F.when(F.col("_ragged").isNotNull(), wrong).otherwise(F.coalesce("c0", F.lit("")))
+    return df.select(first.alias("c0"), *(F.coalesce(c, F.lit("")).alias(c) for c in columns(arity)[1:]))
 
 
 def ntriples(spark: SparkSession, path: str) -> DataFrame:

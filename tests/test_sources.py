@@ -1,5 +1,6 @@
 import gzip
 
+import pyarrow.parquet as pq
 import pytest
 
 from ruleweave.operators.topk import HEAD, top_k
@@ -54,7 +55,7 @@ def test_sinks(spark, tmp_path):
     r.write(str(tmp_path / "nt"), "nt")
     assert "a <p> b c ." in {x[0] for x in rows(spark.read.text(str(tmp_path / "nt")))}
     r.write(str(tmp_path / "pq"), "parquet", nulls=False)
-    assert spark.read.parquet(str(tmp_path / "pq" / "n\\057x")).count() == 0
+    assert pq.ParquetDataset(str(tmp_path / "pq" / "n\\057x")).read().num_rows == 0  # nulls are left out
     with pytest.raises(RuleError):
         r.write(str(tmp_path / "other"), "db?")
 
