@@ -54,7 +54,7 @@ def joined(left: DataFrame | None, right: DataFrame, needed: set[str], negated:
         return left.join(right, on, "left_semi") if on else left.join(right.limit(1), F.lit(True), "left_semi")
     if not on:
         return left.crossJoin(right.select(*new))  # the rule itself asks for a product
-    return left.join(right.select(*on, *new).distinct() if len(on) + len(new) < len(right.columns) else right, on)
+    return left.join(right.select(*on, *new), on)
 
 
 def order(body: tuple[Atom, ...], first: int | None, sizes: dict[int, int]) -> list[int]:

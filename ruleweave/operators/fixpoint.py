@@ -25,7 +25,7 @@ from ..functions.terms import is_null, labelled_null
 from ..plans.rules import SAME_AS, Atom, Program, Rule, RuleError, Var
 from .bodies import body_rows, literal, matches
 from .components import components
-from .tables import BROADCAST_ROWS, Relation, as_relation, columns, unify
+from .tables import BROADCAST_ROWS, LARGE_ROWS, Relation, as_relation, broadcast_if, columns, counted, unify
 
 SKOLEM, RESTRICTED = "skolem", "restricted"
 
@@ -171,7 +171,7 @@ class Evaluation:
         for p in sorted(found):
             rows = reduce(DataFrame.unionByName, found[p]).distinct()
             if self.full[p].rows:
-                rows = rows.join(self.full[p].frame().toDF(*(f"k{i}" for i in range(len(rows.columns)))), [F.col(f"c{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(rows.columns))], "left_anti")
+                rows = self._unknown(rows, p)
             delta[p] = self.full[p].add(self.prune(rows) if self.prune else rows, p)
             self.stats.derived += delta[p].rows
             if delta[p].rows:
@@ -180,6 +180,22 @@ class Evaluation:
                     self.watch(delta[p].frame())
         return delta
 
+    def _unknown(self, rows: DataFrame, pred: str) -> DataFrame:
+        """Rows that the relation does not have.
+
+        A large relation is scanned where it lies, for the rows in question that it
+        has, if those are few; else both sides are shuffled on the whole row.
+        """
+        full, few = self.full[pred], False
+        if full.rows > LARGE_ROWS:
+            path, n = counted(rows, pred)
+            rows, few = self.spark.read.schema(full.schema).parquet(path), n <= BROADCAST_ROWS
+        right = full.frame()
+        if few:
+            right = right.join(F.broadcast(rows.toDF(*(f"k{i}" for i in range(len(rows.columns))))), [F.col(c) == F.col(f"k{i}") for i, c in enumerate(right.columns)], "left_semi")
+        right = broadcast_if(right.toDF(*(f"k{i}" for i in range(len(rows.columns)))), few)
+        return rows.join(right, [F.col(f"c{i}") == F.col(f"k{i}") for i in range(len(rows.columns))], "left_anti")
+
     def _tick(self) -> None:
         self.stats.rounds += 1
         if self.until and time.monotonic() > self.until:
@@ -243,7 +259,16 @@ class Evaluation:
             self.stats.seconds = time.monotonic() - began
         return self
 
+    def _settle(self, rules: list[Rule]) -> None:
+        """Write the sources that are read in every round, once; their sizes are known from then on."""
+        heads = {h.pred for r in rules for h in r.heads}
+        again = [r for r in rules if r.existential() or any(b.pred in heads for b in r.body)]
+        for p in sorted({b.pred for r in again for b in r.body} & set(self.sources) - set(self._sizes)):
+            path, self._sizes[p] = counted(self.sources[p], p)
+            self.sources = {**self.sources, p: self.spark.read.schema(self.sources[p].schema).parquet(path)}
+
     def _stratum(self, plain: list[Rule], loose: list[Rule]) -> None:
+        self._settle(plain + loose)
         if self.chase == SKOLEM or not loose:
             self._saturate(plain + loose, None)
             return
@@ -289,6 +314,7 @@ class Evaluation:
             if p in self.full:
                 self.full[p] = block
             else:
+                self._sizes[p] = block.rows
                 self.sources = {**self.sources, p: block.frame()}
 
 
@@ -296,7 +322,7 @@ def select(df: DataFrame, query: Atom, constants: bool = False) -> DataFrame:
     """Answers to an atom: its variables, or all its arguments, as columns."""
     rows = matches(query, df, "q")
     if constants:
-        return rows.select(*(F.col(f"v_{a.name}").alias(f"c{i}") if isinstance(a, Var) else F.lit(a).alias(f"c{i}") for i, a in enumerate(query.args))).distinct()
+        return rows.select(*(F.col(f"v_{a.name}").alias(f"c{i}") if isinstance(a, Var) else literal(a, df.schema[i].dataType).alias(f"c{i}") for i, a in enumerate(query.args))).distinct()
     return rows.toDF(*(c[2:] for c in rows.columns)).distinct()
 
 

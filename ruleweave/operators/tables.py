@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ _SETTING = "spark.checkpoint.dir"
 _made: list[tuple[SparkSession, str]] = []
 #: A side is broadcast if a written table shows that it has at most so many rows.
 BROADCAST_ROWS = 100_000
+#: A relation of more rows than this is not shuffled to compare a few new rows with it.
+LARGE_ROWS = 1_000_000
 #: A relation of more blocks than this is written anew as one.
 BLOCKS = 16
 
@@ -29,11 +31,16 @@ def folder(spark: SparkSession) -> str:
 
 
 def write(df: DataFrame, tag: str) -> str:
-    spark = df.sparkSession
+    return counted(df, tag)[0]
+
+
+def counted(df: DataFrame, tag: str) -> tuple[str, int]:
+    """Write `df`; (path, rows), the rows counted on the way."""
+    spark, seen = df.sparkSession, Observation()
     out = f"{folder(spark)}/ruleweave/{tag.replace('/', '_').replace(':', '_')}-{uuid.uuid4().hex}"
     _made.append((spark, out))
-    df.write.parquet(out)
-    return out
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(out)
+    return out, seen.get["rows"]
 
 
 @atexit.register
@@ -65,9 +72,8 @@ class Relation:
 
     def add(self, df: DataFrame, tag: str) -> Relation:
         """Write `df` as a new block; returns that block as a relation, empty blocks included."""
-        path = write(df, tag)
-        block = Relation(self.spark, self.schema, [path])
-        block.rows = block.frame().count()  # from file footers
+        path, rows = counted(df, tag)
+        block = Relation(self.spark, self.schema, [path], rows)
         if block.rows:
             self.paths.append(path)
             self.rows += block.rows

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import triggers
 from .operators.fixpoint import RESTRICTED, SKOLEM, Evaluation, TimedOut, select
 from .operators.incremental import updated
-from .operators.tables import as_relation
+from .operators.tables import as_relation, write
 from .operators.termination import Ends, termination
 from .plans import equality, magic
 from .plans.rules import Atom, Program, RuleError, Var, atom
@@ -32,6 +32,7 @@ class Reasoner:
         self.program = Program()
         self.model: dict[str, DataFrame] | None = None
         self.last: Evaluation | None = None
+        self.prepared: dict[Atom, DataFrame] = {}
 
     # facts
 
@@ -70,7 +71,7 @@ class Reasoner:
         elif same_as != "NATIVE":
             raise RuleError(f"unknown treatment of equality {same_as!r}")
         program.check({p: len(d.columns) for p, d in self.sources.items()})
-        self.program, self.model, self.last = program, None, None
+        self.program, self.model, self.last, self.prepared = program, None, None, {}
         return self
 
     # model
@@ -97,6 +98,7 @@ class Reasoner:
         """Change source rows and bring the model up to date."""
         if self.model is None:
             raise RuleError("there is no model to update")
+        self.prepared = {}
         self.sources, self.model = updated(self.spark, self.program, self.sources, self.model, removed, added)
         return self
 
@@ -120,6 +122,9 @@ class Reasoner:
         there is one, and magic sets if the query has a constant.
         """
         q = atom(query) if isinstance(query, str) else query
+        if mode is None and q in self.prepared:
+            out = select(self.prepared[q], q, constants)
+            return out if nulls else sinks.without_nulls(out)
         if mode is None:
             bound = any(not isinstance(a, Var) for a in q.args)
             plain = not any(r.existential() or r.is_egd() for r in self.program.rules)
@@ -167,11 +172,11 @@ class Reasoner:
         return self.query(query, constants=constants).join(keys.distinct(), keys.columns, "left_semi")
 
     def prepare(self, queries: Iterable[str | Atom]) -> Reasoner:
-        """Answer some atoms beforehand; later queries of them read the answers."""
+        """Answer some atoms beforehand; the same atoms, asked later without a mode, read the answers."""
         for q in queries:
             a = atom(q) if isinstance(q, str) else q
-            rows = self._goal(a, constants=True)
-            self.model = {**(self.model or {}), a.pred: as_relation(rows)}
+            rows = as_relation(self._goal(a, constants=True))
+            self.prepared[a] = self.spark.read.schema(rows.schema).parquet(write(rows, a.pred))
         return self
 
     # about programs

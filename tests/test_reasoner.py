@@ -124,6 +124,12 @@ def test_delete(spark):
     assert rows(r.facts("t")) == [(1, 2), (1, 3), (2, 3)]
 
 
+def test_prepared(spark):
+    r = reasoner(spark, {"e": [(1, 2), (2, 3)]}, CLOSURE).prepare(["t(1,Y)"])
+    assert rows(r.query("t(1,Y)")) == [(2,), (3,)] and rows(r.query("t(1,Y)", constants=True)) == [(1, 2), (1, 3)]
+    assert rows(r.query("t(2,Y)")) == [(3,)]
+
+
 def test_linear_programs(spark):
     facts = {"e": [(1, 2), (2, 2), (3, 1)]}
     rules = "p(X,Y) :- e(X,Y)\nq(Y,X) :- p(X,Y)\np(X,Y) :- q(X,Y)\nr(X) :- p(X,X)\ns(X,X) :- p(X,Y)\nr(Y) :- s(X,Y)"
