@@ -9,6 +9,7 @@ left neighbours, and the lowest backs off to a uniform share.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,15 +31,12 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, np.arange(len(symbols)) - np.repeat(starts, lengths)
 
 
-def gram_keys(symbols: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+def gram_keys(symbols: np.ndarray, place: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For n from 1 to `order`, the key of the n characters that end at each place (0 where the word is shorter)."""
-    out, total = [], np.zeros(len(symbols), dtype=np.uint64)
+    total = np.zeros(len(symbols), dtype=np.uint64)
     for n in range(order):
-        back = np.zeros(len(symbols), dtype=np.uint64)
-        back[n:] = symbols[: len(symbols) - n].astype(np.uint64) + U(1)
-        total = total + back * _STEP[n]
-        out.append(np.where(place >= n, mix(total + U(n)) | U(1), U(0)))
-    return out
+        total[n:] += (symbols[: len(symbols) - n].astype(np.uint64) + U(1)) * _STEP[n]
+        yield np.where(place >= n, mix(total + U(n)) | U(1), U(0))
 
 
 @dataclass
@@ -52,18 +50,19 @@ class CharModel:
     def fit(cls, words: list[str], counts: np.ndarray, classes: list[str], order: int = 5) -> CharModel:
         """From words and their counts (a row for each word, a column for each class)."""
         symbols, place = coded(words)
-        owner = np.cumsum(place == 0) - 1
-        grams = gram_keys(symbols, place, order)
+        place = place.astype(np.int32)
+        owner = np.cumsum(place == 0, dtype=np.int32) - np.int32(1)
+        counts = counts.astype(np.float32)
         keys, ids, first, raw = [], [], [], []
-        for n, g in enumerate(grams):
-            there = np.flatnonzero(place >= n)
-            k, at, inverse = np.unique(g[there], return_index=True, return_inverse=True)
-            ident = np.full(len(symbols), -1, dtype=np.int64)
-            ident[there] = inverse
-            keys.append(k)
-            ids.append(ident)
-            first.append(there[at])
-            raw.append(np.stack([np.bincount(inverse, weights=counts[owner[there], c], minlength=len(k)) for c in range(len(classes))], axis=1))
+        for n, g in enumerate(gram_keys(symbols, place, order)):
+            k, at, inverse = np.unique(g, return_index=True, return_inverse=True)
+            short = int(k[0] == 0)  # places where the word is shorter
+            keys.append(k[short:])
+            ids.append((inverse - short).astype(np.int32))
+            first.append(at[short:].astype(np.int32))
+            del g, k, at
+            raw.append(np.stack([np.bincount(inverse, weights=counts[owner, c], minlength=short + len(keys[n]))[short:] for c in range(len(classes))], axis=1).astype(np.float32))
+            del inverse
         share, weight = [], []
         for n in range(order):
             uses = raw[n].copy()
@@ -73,7 +72,7 @@ class CharModel:
                 for c in range(len(classes)):
                     uses[:, c] += np.bincount(suffix, weights=raw[n + 1][:, c] > 0, minlength=len(keys[n]))
             if n == 0:
-                uses[keys[0] == gram_keys(np.array([START], "<u4"), np.zeros(1, int), 1)[0][0]] = 0
+                uses[keys[0] == next(gram_keys(np.array([START], "<u4"), np.zeros(1, int), 1))[0]] = 0
                 context, contexts = np.zeros(len(uses), dtype=np.int64), 1
             else:
                 context, contexts = ids[n - 1][first[n] - 1], len(keys[n - 1])
@@ -112,7 +111,7 @@ class CharModel:
 class Memo:
     """Values of words by hash, kept sorted; over `limit` words it starts anew."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 600_000):
         self.limit, self.keys, self.values = limit, np.zeros(0, dtype=np.uint64), None
 
     def __call__(self, words: Words, compute) -> tuple[np.ndarray, np.ndarray]:

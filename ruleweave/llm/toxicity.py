@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = DOC
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id", folds) > 0)
     rows = marks.select("doc_id", F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("class"))
     sample = sampled(rows, per_class, "toxicity", docs.where(F.col("text").isNotNull()).select("doc_id", "text"))
-    words, counts, classes = word_counts(sample, NON_LETTER, contexts=True)
+    words, counts, classes = word_counts(sample, NON_LETTER, contexts=True, least=2)
     if classes != [ORDINARY, TOXIC]:
         return None
     model = estimate(words, counts)

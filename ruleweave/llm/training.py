@@ -32,8 +32,11 @@ def sampled(rows: DataFrame, limit: int, tag: str, texts: DataFrame | None = Non
     return cut(drawn.withColumn("held", held), tag)
 
 
-def word_counts(sample: DataFrame, separators: np.ndarray, contexts: bool = False) -> tuple[list[str], np.ndarray, list[str]]:
-    """(words, counts by class, classes) of the rows that are not held; counts of words, or of different words before them."""
+def word_counts(sample: DataFrame, separators: np.ndarray, contexts: bool = False, least: int = 1) -> tuple[list[str], np.ndarray, list[str]]:
+    """(words, counts by class, classes) of the rows that are not held; counts of words, or of different words before them.
+
+    Words with fewer than `least` in all classes together are left out.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it):
@@ -46,13 +49,11 @@ def word_counts(sample: DataFrame, separators: np.ndarray, contexts: bool = Fals
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], ["class", "word", "before", "n"])
 
     counted = sample.where("not held").select("class", "text").mapInArrow(run, "class string, word string, before long, n long")
-    n = F.count(F.lit(1)) if contexts else F.sum("n")
-    each = counted.select("class", "word", "before").distinct() if contexts else counted
-    rows = each.groupBy("class", "word").agg(n.alias("n")).toArrow()  # bounded by the sample
-    classes = sorted(set(rows["class"].to_pylist()))
-    words = sorted(set(rows["word"].to_pylist()))
-    at, of = {w: i for i, w in enumerate(words)}, {c: i for i, c in enumerate(classes)}
-    counts = np.zeros((len(words), len(classes)))
-    for c, w, n in zip(rows["class"].to_pylist(), rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True):
-        counts[at[w], of[c]] = n
-    return words, counts, classes
+    each = counted.select("class", "word", "before").distinct().withColumn("n", F.lit(1)) if contexts else counted
+    classes = sorted(r[0] for r in sample.where("not held").select("class").distinct().collect())
+    if not classes:
+        return [], np.zeros((0, 0)), []
+    columns = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(classes)]
+    rows = each.groupBy("word").agg(F.sum("n").alias("total"), *columns).where(F.col("total") >= least).orderBy("word").toArrow()  # bounded by the sample
+    counts = np.column_stack([rows[f"n{i}"].to_numpy() for i in range(len(classes))]).astype(np.float64)
+    return rows["word"].to_pylist(), counts, classes
