@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, small
-from .textnp import slices
+from .textnp import batches
 from .tokens import AT_ONCE, bits_for, coder_for, pack, unpack
 
 CAPACITY = 2048
@@ -119,22 +119,19 @@ def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int
 
         part, coder, seen = TaskContext.get().partitionId(), None, defaultdict(int)
         last = np.array([end], dtype="<u4")
-        for batch in it:
+        for batch, texts in batches(it, AT_ONCE):
             coder = coder or coder_for(tokenizer, lower)
-            bits = bits_for(coder.vocabulary)
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in slices(texts, AT_ONCE):
-                rows = []
-                for doc_id, coded in zip(keys[i:j], coder.encode(texts[i:j]), strict=True):
-                    ids = np.concatenate([np.frombuffer(coded, dtype="<u4"), last])
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        cutted = ids[start : start + capacity]
-                        n = len(cutted)
-                        rows.append((doc_id, piece, start, n, pack(cutted, bits), bits, part, seen[n]))
-                        seen[n] += 1
-                columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids", "bits", "part", "rank"])
+            bits, rows = bits_for(coder.vocabulary), []
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                ids = np.concatenate([np.frombuffer(coded, dtype="<u4"), last])
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    cutted = ids[start : start + capacity]
+                    n = len(cutted)
+                    rows.append((doc_id, piece, start, n, pack(cutted, bits), bits, part, seen[n]))
+                    seen[n] += 1
+            columns = list(zip(*rows, strict=True))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids", "bits", "part", "rank"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, bits int, part int, rank long")

@@ -107,7 +107,7 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def slices(texts: list[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` characters; a longer text stands alone."""
     i = size = 0
     for j, t in enumerate(texts):
@@ -120,12 +120,14 @@ def slices(texts: list[str | None], limit: int = 4 << 20) -> Iterator[tuple[int,
         yield i, len(texts)
 
 
-def batches(it: Iterable, limit: int = 4 << 20) -> Iterator[tuple[object, list[str | None]]]:
-    """(record batch slice, its texts) for Arrow batches with a `text` column."""
+def batches(it: Iterable, limit: int = 2 << 20, rows: int = 512) -> Iterator[tuple[object, list[str | None]]]:
+    """(record batch slice, its texts) for Arrow batches with a `text` column: at most `rows` texts, and about `limit` characters."""
     for batch in it:
-        texts = batch.column("text").to_pylist()
-        for i, j in slices(texts, limit):
-            yield batch.slice(i, j - i), texts[i:j]
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            texts = part.column("text").to_pylist()
+            for i, j in slices(texts, limit):
+                yield part.slice(i, j - i), texts[i:j]
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import partitions
-from .textnp import slices
+from .textnp import batches as texts_of
 
 BLOCK = 1 << 16
 END = 0
@@ -144,10 +144,9 @@ def write(docs: DataFrame, out: str, tokenizer: str, lower: bool = False, end: i
             ids = pack(np.frombuffer(b"".join(held), dtype="<u4"), bits)
             return pa.RecordBatch.from_pylist([{"part": part, "block": number, "first": first, "n_ids": n, "bits": bits, "doc_ids": keys, "offsets": offsets, "ids": ids}], schema)
 
-        for b in batches:
+        for b, texts in texts_of(batches, AT_ONCE):
             coder = coder or coder_for(tokenizer, lower)
-            texts = b.column("text").to_pylist()
-            for doc_id, coded in zip(b.column("doc_id").to_pylist(), (c for i, j in slices(texts, AT_ONCE) for c in coder.encode(texts[i:j])), strict=True):
+            for doc_id, coded in zip(b.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
                 held += (coded, ends)
                 n += len(coded) // 4 + 1
                 keys.append(doc_id)
