@@ -2,9 +2,9 @@
 
 A toxic and an ordinary model give each word a likelihood: its discounted share in
 the class, interpolated with a back-off that both share.  Counts are of different
-words before it, so that copies of a text count once.  A discount of three leaves rare
-expressions to the shared counts, and both classes give those the same mass, so a
-word known to neither favours none.  A word that no training text has is compared by
+words before it, so that copies of a text count once.  The discount grows with the
+chance in a count, so rare expressions keep to the shared counts, and a word known to
+neither class favours none.  A word that no training text has is compared by
 its spelling: a character model of the words that tell toxic texts, mixed with the
 model of ordinary words, against that model alone.  The
 log-likelihoods are compared over windows of WINDOW words, normalised by length; the
@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 from .kneser_ney import CharModel, Memo
 from .scratch import fold, rows_where
 from .textnp import NON_LETTER, Words, batches
-from .training import sampled, word_counts
+from .training import sampled, weights, word_counts
 
 DOCS = 5000
 ORDER = 5
 WINDOW = 3
-#: Contexts taken off each word's count in a class, and the mass that both classes give to the shared back-off.
-DISCOUNT = 3.0
-BACK_OFF = 0.2
+#: Standard deviations of a word's count that are left to chance, and the least part that a class keeps of what is expected.
+CHANCE = 4.0
+LEAST = 0.02
 #: Share of unknown words in toxic texts that are spelled like words that tell toxic texts.
 SPELLED = 0.02
 #: Most that one such word can say; spelling alone needs a second word near it.
-UNSEEN = 3.0
+UNSEEN = 0.9
 LOW, HIGH = -0.25, 6.0
 TOXIC, ORDINARY = "1", "0"
 
@@ -73,8 +73,12 @@ class Toxicity:
         """The highest mean ratio over WINDOW words of each text; shorter texts count as one window."""
         rows, inverse = self.memo(words, self.ratio)
         n = words.count()
+        each, owner = (rows[inverse, 0] if len(inverse) else np.zeros(0)), words.owner()
+        for k in range(1, WINDOW):  # a word that stands in the window already says nothing new
+            again = (inverse[k:] == inverse[:-k]) & (owner[k:] == owner[:-k])
+            each[k:][again] = 0
         total = np.zeros(len(inverse) + 1)
-        np.cumsum(rows[inverse, 0] if len(inverse) else [], out=total[1:])
+        np.cumsum(each, out=total[1:])
         out = np.zeros(len(n))
         long = n >= WINDOW
         short = ~long & (n > 0)
@@ -91,38 +95,49 @@ class Toxicity:
 
 
 def estimate(words: list[str], counts: np.ndarray) -> Toxicity:
-    """Word and character models from the number of (ordinary, toxic) contexts of each word."""
-    rest = np.maximum(counts - DISCOUNT, 0)
-    own = rest / np.maximum(1, rest.sum(axis=0))
-    shared = counts.sum(axis=1) / counts.sum()
-    p = (1 - BACK_OFF) * own + BACK_OFF * shared[:, None]
+    """Word and character models from the number of (ordinary, toxic) contexts of each word.
+
+    A class's part of a word's contexts is what the shared counts let expect, plus
+    what the class's own count exceeds that by, less the discount for chance.
+    """
+    n = counts.sum(axis=1)
+    share = counts[:, 1].sum() / n.sum()
+    toxic, other = n * share, n * (1 - share)
+    discount = 1 + CHANCE * np.sqrt(n * share * (1 - share))
+    beyond = counts[:, 1] - toxic
+    own = np.sign(beyond) * np.maximum(np.abs(beyond) - discount, 0)
+    own = np.clip(own, -(1 - LEAST) * toxic, (1 - LEAST) * other)
+    parts = np.column_stack([other - own, toxic + own])
+    p = parts / parts.sum(axis=0)
     ratio = np.log(p[:, 1] / p[:, 0])
-    # a small toxic sample loses more to the discount, which words of both classes all show alike
-    both = (rest > 0).all(axis=1)
-    if both.any():
-        ratio[both] -= np.average(ratio[both], weights=counts[both].sum(axis=1))
-    telling = (ratio > 1.5) & (rest[:, 1] > 1)
-    chars = CharModel.fit(words, np.column_stack([counts[:, 0] > 0, np.where(telling, 1.0, 0.0)]).astype(float), [ORDINARY, TOXIC], ORDER) if telling.any() else None
+    telling = (ratio > 1.5) & (own > 1)
+    chars = CharModel.fit(words, np.column_stack([counts[:, 0] > 0, telling]).astype(float), [ORDINARY, TOXIC], ORDER) if telling.any() else None
     return Toxicity(dict(zip(words, ratio.tolist(), strict=True)), chars)
 
 
-def calibrate(model: Toxicity, evidence: np.ndarray, toxic: np.ndarray) -> None:
-    """A logistic curve over the evidence, by Newton steps with a little shrinkage; classes weigh as they come."""
+def calibrate(model: Toxicity, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> None:
+    """A logistic curve over the evidence: its middle at the cut with the fewest errors, its slope by Newton steps.
+
+    `weight` says how many texts each one stands for, as classes are not drawn alike.
+    """
     if not len(evidence) or toxic.min() == toxic.max():
         model.slope, model.middle = 8.0, 0.5
         return
-    # start at the cut with the fewest errors
-    order = np.sort(np.unique(evidence))
-    cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
-    high, low = np.sort(evidence[toxic == 1]), np.sort(evidence[toxic == 0])
-    errors = np.searchsorted(high, cuts) + len(low) - np.searchsorted(low, cuts)
+    weight = np.ones(len(evidence)) if weight is None else weight
+    order = np.argsort(evidence, kind="stable")
+    x, y, w = evidence[order], toxic[order], weight[order]
+    missed = np.concatenate([[0], np.cumsum(w * (y == 1))])  # toxic texts below the cut
+    wrong = np.concatenate([[0], np.cumsum((w * (y == 0))[::-1])])[::-1]  # ordinary ones above
+    cuts = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
+    errors = (missed + wrong)[1:-1] if len(x) > 1 else missed + wrong
+    cuts = cuts[1:-1] if len(x) > 1 else cuts
     best = np.flatnonzero(errors == errors.min())
     model.middle = float(cuts[best[len(best) // 2]])
-    x = evidence - model.middle
+    away = evidence - model.middle
     slope = 1.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * x, -50, 50)))
-        step = ((toxic - p) @ x - 0.01 * slope) / ((p * (1 - p)) @ (x * x) + 0.01)
+        p = 1 / (1 + np.exp(-np.clip(slope * away, -50, 50)))
+        step = ((weight * (toxic - p)) @ away - 0.01 * slope) / ((weight * p * (1 - p)) @ (away * away) + 0.01)
         slope = float(np.clip(slope + np.clip(step, -5, 5), 0.1, 40))
     model.slope = slope
 
@@ -143,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = DOC
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(shared.value.evidence(Words(texts, NON_LETTER)))], ["class", "evidence"])
 
     seen = sample.where("held").select("class", "text").mapInArrow(run, "class string, evidence double").toPandas()  # bounded by the sample
-    calibrate(model, seen.evidence.to_numpy(), (seen["class"] == TOXIC).to_numpy().astype(float))
+    stands_for = seen["class"].map(weights(rows, per_class)).to_numpy(dtype=float)
+    calibrate(model, seen.evidence.to_numpy(), (seen["class"] == TOXIC).to_numpy().astype(float), stands_for)
     return model
 
 

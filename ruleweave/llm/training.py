@@ -32,6 +32,11 @@ def sampled(rows: DataFrame, limit: int, tag: str, texts: DataFrame | None = Non
     return cut(drawn.withColumn("held", held), tag)
 
 
+def weights(rows: DataFrame, limit: int) -> dict[str, float]:
+    """How many rows of a class stand behind one that `sampled` draws."""
+    return {r[0]: max(1.0, r[1] / limit) for r in rows.groupBy("class").agg(F.count(F.lit(1))).collect()}
+
+
 def word_counts(sample: DataFrame, separators: np.ndarray, contexts: bool = False, least: int = 1) -> tuple[list[str], np.ndarray, list[str]]:
     """(words, counts by class, classes) of the rows that are not held; counts of words, or of different words before them.
 
