@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, small
+from .scratch import cut, small, small_batches
 from .textnp import batches
 from .tokens import AT_ONCE, bits_for, coder_for, pack, unpack
 
@@ -140,12 +140,14 @@ def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int
 def pack_documents(docs: DataFrame, tokenizer: str, lower: bool = True, capacity: int = CAPACITY, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids (bytes of little-endian unsigned 32-bit ids), sequence_id, offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = cut(pieces(docs, tokenizer, lower, capacity, end, text, key), "pieces")
     counts = cut(rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-bases")
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     made = spark.sparkContext.broadcast(plan(totals, capacity).arrays())
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, lo, first, per, offset = made.value
         for b in it:

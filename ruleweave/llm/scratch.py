@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 2048
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -51,6 +53,15 @@ def clear() -> None:
     _made.clear()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most `ARROW_ROWS` rows, where the session does not set a number itself.
+
+    The JVM and the worker each hold a batch of every running task; by default it has 10,000 rows.
+    """
+    if spark.conf.get(_ARROW, None) is None:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
 def partitions(df: DataFrame) -> int:
     """As many partitions as a shuffle has, and no fewer than the input's splits."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

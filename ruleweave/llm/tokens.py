@@ -37,7 +37,7 @@ BYTE_PIECES = rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTER}0-9]
 WORD_PIECES = rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{LETTER}0-9]+"
 #: Only on these characters do Python's classes surely agree with the tokenizers'.
 PLAIN = re.compile(f"[\t\n\r\x20-\x7e¡-©«-¬®-±´¶-¸»¿×÷‐-‧€{LETTER[6:]}]*")
-CACHE = 400_000
+CACHE = 200_000
 #: Characters that are encoded at a time.
 AT_ONCE = 1 << 20
 
@@ -54,7 +54,6 @@ class TokenCoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
