@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A toxic and an ordinary model give each word a likelihood: its discounted share in
-the class, interpolated with a back-off that both share.  Counts are of different
-words before it, so that copies of a text count once.  The discount grows with the
-chance in a count, so rare expressions keep to the shared counts, and a word known to
-neither class favours none.  A word that no training text has is compared by
+A toxic and an ordinary model give each word a likelihood after the word before it:
+its discounted share among the words that follow that one in the class, interpolated
+with what both classes together have there, which is scaled by the class's own level
+of words.  Words are counted by the different words before them, pairs by their
+different surroundings, so that copies of a text count once.  Discounts are below 1:
+whatever was seen in one class alone says something.  A pair that neither class has
+is judged by its word, and a word known to neither favours none.  A word that no
+training text has is compared by
 its spelling: a character model of the words that tell toxic texts, mixed with the
 model of ordinary words, against that model alone.  The
 log-likelihoods are compared over windows of WINDOW words, normalised by length; the
@@ -31,15 +34,16 @@ from pyspark.sql import functions as F
 
 from .kneser_ney import CharModel, Memo
 from .scratch import fold, rows_where
-from .textnp import NON_LETTER, Words, batches
-from .training import sampled, weights, word_counts
+from .textnp import NON_LETTER, Words, batches, mix
+from .training import pair_counts, previous, sampled, spellings, weights
 
 DOCS = 5000
 ORDER = 5
 WINDOW = 3
-#: Standard deviations of a word's count that are left to chance, and the least part that a class keeps of what is expected.
+#: Standard deviations by which a word's count must exceed chance before its spelling teaches anything.
 CHANCE = 4.0
-LEAST = 0.02
+#: Weights that the back-off may take, in contexts.
+WEIGHTS = 2.0 ** np.arange(-2, 10)
 #: Share of unknown words in toxic texts that are spelled like words that tell toxic texts.
 SPELLED = 0.02
 #: Most that one such word can say; spelling alone needs a second word near it.
@@ -50,30 +54,44 @@ TOXIC, ORDINARY = "1", "0"
 
 @dataclass
 class Toxicity:
-    words: dict[str, float]
+    #: hashes of known words, sorted, with log(toxic / ordinary) of each
+    words: np.ndarray
+    ratios: np.ndarray
+    #: keys of known pairs, sorted, with log(toxic / ordinary) of each word after the one before
+    pairs: np.ndarray
+    after: np.ndarray
     chars: CharModel | None
     slope: float = 0.0
     middle: float = 0.0
     #: words that this worker process has scored, in whatever task
     memo: Memo = field(default_factory=Memo)
 
-    def ratio(self, found: list[str], _: np.ndarray | None = None) -> np.ndarray:
-        """log(toxic likelihood / ordinary likelihood) of each word."""
-        out = np.array([self.words.get(w, np.nan) for w in found], dtype=np.float64)
-        new = np.flatnonzero(np.isnan(out))
+    def ratio(self, found: list[str], hashes: np.ndarray) -> np.ndarray:
+        """log(toxic likelihood / ordinary likelihood) of each word, whatever stands before it."""
+        at, known = find(self.words, hashes)
+        out = np.where(known, self.ratios[at], 0.0)
+        new = np.flatnonzero(~known)
         if len(new) and self.chars:
             some = [found[i] for i in new.tolist()]
             s = self.chars.score(some)
             # letters in no order, such as codes, are as ordinary as they are toxic
             s[:, 0] = np.log10(0.95 * 10.0 ** s[:, 0] + 0.05 * 40.0 ** -np.array([len(w) + 1 for w in some]))
             out[new] = np.minimum(UNSEEN, np.log1p(SPELLED * (10.0 ** np.clip(s[:, 1] - s[:, 0], -9, 9) - 1)))
-        return np.clip(np.nan_to_num(out), LOW, HIGH).astype(np.float32)[:, None]
+        return out.astype(np.float32)[:, None]
+
+    def each(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """log(toxic / ordinary) of each word after the one before it; and the word's number."""
+        rows, inverse = self.memo(words, self.ratio)
+        out = rows[inverse, 0].astype(np.float64) if len(inverse) else np.zeros(0)
+        at, known = find(self.pairs, pair_keys(previous(words), words.hash))
+        out[known] = self.after[at[known]]
+        return out, inverse
 
     def evidence(self, words: Words) -> np.ndarray:
         """The highest mean ratio over WINDOW words of each text; shorter texts count as one window."""
-        rows, inverse = self.memo(words, self.ratio)
-        n = words.count()
-        each, owner = (rows[inverse, 0] if len(inverse) else np.zeros(0)), words.owner()
+        each, inverse = self.each(words)
+        each = np.clip(each, LOW, HIGH)
+        n, owner = words.count(), words.owner()
         for k in range(1, WINDOW):  # a word that stands in the window already says nothing new
             again = (inverse[k:] == inverse[:-k]) & (owner[k:] == owner[:-k])
             each[k:][again] = 0
@@ -94,25 +112,75 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.middle), -50, 50)))
 
 
-def estimate(words: list[str], counts: np.ndarray) -> Toxicity:
-    """Word and character models from the number of (ordinary, toxic) contexts of each word.
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, whether it is there) of each key; `keys` are sorted and not empty."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0xD6E8FEB86659FD93) + word)
+
 
-    A class's part of a word's contexts is what the shared counts let expect, plus
-    what the class's own count exceeds that by, less the discount for chance.
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 6
+    below = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - below
+
+
+def interpolated(counts: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Log odds of toxic, from (ordinary, toxic) counts and what the level below expects.
+
+    Counts lose a Kneser-Ney discount below 1; what it frees, and the back-off's own
+    weight, go to both classes by the expected odds.  That weight is one of WEIGHTS,
+    as likely as it is among all counts and as it makes these: most expressions keep to
+    what is expected, and those that do not are soon let go.
     """
-    n = counts.sum(axis=1)
-    share = counts[:, 1].sum() / n.sum()
-    toxic, other = n * share, n * (1 - share)
-    discount = 1 + CHANCE * np.sqrt(n * share * (1 - share))
-    beyond = counts[:, 1] - toxic
-    own = np.sign(beyond) * np.maximum(np.abs(beyond) - discount, 0)
-    own = np.clip(own, -(1 - LEAST) * toxic, (1 - LEAST) * other)
-    parts = np.column_stack([other - own, toxic + own])
-    p = parts / parts.sum(axis=0)
-    ratio = np.log(p[:, 1] / p[:, 0])
-    telling = (ratio > 1.5) & (own > 1)
-    chars = CharModel.fit(words, np.column_stack([counts[:, 0] > 0, telling]).astype(float), [ORDINARY, TOXIC], ORDER) if telling.any() else None
-    return Toxicity(dict(zip(words, ratio.tolist(), strict=True)), chars)
+    one, two = (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)
+    own = np.maximum(counts - np.clip(one / np.maximum(1, one + 2 * two), 0.1, 0.9), 0)
+    # equal counts and nearly equal odds are worked out once
+    cells, at = np.unique((counts[:, 0].astype(np.int64) << 42) + (counts[:, 1].astype(np.int64) << 21) + np.round(odds * 20).astype(np.int64) + (1 << 20), return_inverse=True)
+    times = np.bincount(at)
+    x, y, p = cells >> 42, cells >> 21 & (1 << 21) - 1, 1 / (1 + np.exp(((1 << 20) - (cells & (1 << 21) - 1)) / 20))
+    likely = np.column_stack([log_gamma(m * p + y) - log_gamma(m * p) + log_gamma(m * (1 - p) + x) - log_gamma(m * (1 - p)) - log_gamma(m + x + y) + log_gamma(np.full(len(p), m)) for m in WEIGHTS])
+    likely = np.exp(likely - likely.max(axis=1, keepdims=True))
+    usual = np.full(len(WEIGHTS), 1 / len(WEIGHTS))
+    for _ in range(30):
+        each = likely * usual
+        each /= each.sum(axis=1, keepdims=True)
+        usual = times @ each / times.sum()
+    out = np.empty(len(counts))
+    for i in range(0, len(out), 1 << 18):
+        part = slice(i, i + (1 << 18))
+        n, toxic = counts[part].sum(axis=1), 1 / (1 + np.exp(-odds[part]))
+        rest = WEIGHTS + (n - own[part].sum(axis=1))[:, None]
+        weight = each[at[part]] / (n[:, None] + WEIGHTS)
+        given, rest = weight.sum(axis=1), (weight * rest).sum(axis=1)
+        out[part] = np.log(given * own[part, 1] + rest * toxic) - np.log(given * own[part, 0] + rest * (1 - toxic))
+    return out
+
+
+def estimate(before: np.ndarray, word: np.ndarray, counts: np.ndarray, hashes: np.ndarray, words: list[str]) -> Toxicity:
+    """Models from the (ordinary, toxic) counts of all pairs, and the words by sorted hash."""
+    w = np.searchsorted(hashes, word)
+    starts, b = np.unique(before, return_inverse=True)
+    # words: numbers of different words before them; contexts: of different words after
+    kinds = np.column_stack([np.bincount(w, counts[:, k] > 0, len(hashes)) for k in (0, 1)])
+    follow = np.column_stack([np.bincount(b, counts[:, k] > 0, len(starts)) for k in (0, 1)])
+    usual = np.log(kinds[:, 1].sum() / kinds[:, 0].sum())
+    ratios = interpolated(kinds, np.full(len(hashes), usual)) - usual
+    context = interpolated(follow, np.full(len(starts), usual)) - usual
+    # P(word | before) of a class over that of the other; a pair that neither has keeps the word's
+    level = np.log(counts[:, 1].sum() / counts[:, 0].sum())
+    after = interpolated(counts, level + ratios[w] + context[b]) - level - context[b]
+    keys = pair_keys(before, word)
+    order = np.argsort(keys)
+    n = kinds.sum(axis=1)
+    toxic = n * (kinds[:, 1].sum() / n.sum())
+    chance = 1 + CHANCE * np.sqrt(toxic * (1 - toxic / n))
+    telling = (ratios > 1.5) & (kinds[:, 1] - toxic - chance > 1)
+    chars = CharModel.fit(words, np.column_stack([kinds[:, 0] > 0, telling]).astype(float), [ORDINARY, TOXIC], ORDER) if telling.any() else None
+    return Toxicity(hashes, ratios.astype(np.float32), keys[order], after[order].astype(np.float32), chars)
 
 
 def calibrate(model: Toxicity, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> None:
@@ -147,10 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = DOC
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id", folds) > 0)
     rows = marks.select("doc_id", F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("class"))
     sample = sampled(rows, per_class, "toxicity", docs.where(F.col("text").isNotNull()).select("doc_id", "text"))
-    words, counts, classes = word_counts(sample, NON_LETTER, contexts=True, least=2)
-    if classes != [ORDINARY, TOXIC]:
+    pairs = pair_counts(sample, NON_LETTER, [ORDINARY, TOXIC])
+    if not len(pairs[0]) or not pairs[2].any(axis=0).all():
         return None
-    model = estimate(words, counts)
+    model = estimate(*pairs, *spellings(sample, NON_LETTER))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
-from .textnp import Words, batches
+from .textnp import Words, batches, mix
+
+U = np.uint64
+#: What stands before a text's first word.
+BEGIN = U(0x9E3779B97F4A7C15)
 
 
 def sampled(rows: DataFrame, limit: int, tag: str, texts: DataFrame | None = None) -> DataFrame:
@@ -37,28 +41,73 @@ def weights(rows: DataFrame, limit: int) -> dict[str, float]:
     return {r[0]: max(1.0, r[1] / limit) for r in rows.groupBy("class").agg(F.count(F.lit(1))).collect()}
 
 
-def word_counts(sample: DataFrame, separators: np.ndarray, contexts: bool = False, least: int = 1) -> tuple[list[str], np.ndarray, list[str]]:
-    """(words, counts by class, classes) of the rows that are not held; counts of words, or of different words before them.
-
-    Words with fewer than `least` in all classes together are left out.
-    """
+def word_counts(sample: DataFrame, separators: np.ndarray) -> tuple[list[str], np.ndarray, list[str]]:
+    """(words, counts by class, classes) of the rows that are not held."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it):
             words, found = Words(texts, separators), Counter()
             for label, i, j in zip(batch.column("class").to_pylist(), words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
                 each = b"\n".join([words.word(k) for k in range(i, j)]).decode("utf-8", "replace").lower().split("\n")
-                before = words.hash[max(i - 1, 0) : j - 1].view(np.int64).tolist() if contexts else [0] * len(each)
-                found.update((label, w, b) for w, b in zip(each, before, strict=False) if w)
+                found.update((label, w) for w in each if w)
             keys = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], ["class", "word", "before", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["class", "word", "n"])
 
-    counted = sample.where("not held").select("class", "text").mapInArrow(run, "class string, word string, before long, n long")
-    each = counted.select("class", "word", "before").distinct().withColumn("n", F.lit(1)) if contexts else counted
+    counted = sample.where("not held").select("class", "text").mapInArrow(run, "class string, word string, n long")
     classes = sorted(r[0] for r in sample.where("not held").select("class").distinct().collect())
     if not classes:
         return [], np.zeros((0, 0)), []
     columns = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(classes)]
-    rows = each.groupBy("word").agg(F.sum("n").alias("total"), *columns).where(F.col("total") >= least).orderBy("word").toArrow()  # bounded by the sample
+    rows = counted.groupBy("word").agg(*columns).orderBy("word").toArrow()  # bounded by the sample
     counts = np.column_stack([rows[f"n{i}"].to_numpy() for i in range(len(classes))]).astype(np.float64)
     return rows["word"].to_pylist(), counts, classes
+
+
+def previous(words: Words) -> np.ndarray:
+    """The hash of the word before each word; `BEGIN` at a text's first."""
+    out = np.empty(len(words.hash), dtype=np.uint64)
+    out[1:] = words.hash[:-1]
+    out[words.bounds[:-1][words.count() > 0]] = BEGIN
+    return out
+
+
+def spellings(sample: DataFrame, separators: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(hashes, words) of all words of the rows that are not held, by hash."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches(it):
+            words = Words(texts, separators)
+            keys, at = np.unique(words.hash, return_index=True)
+            each = b"\n".join([words.word(k) for k in at.tolist()]).decode("utf-8", "replace").lower().split("\n") if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(each, pa.string())], ["h", "word"])
+
+    rows = sample.where("not held").select("text").mapInArrow(run, "h long, word string").groupBy("h").agg(F.min("word").alias("word")).toArrow()  # bounded by the sample
+    keys = rows["h"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["word"].take(pa.array(order)).to_pylist()
+
+
+def pair_counts(sample: DataFrame, separators: np.ndarray, classes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes before, word hashes, counts by class) of all pairs of neighbours in the rows that are not held.
+
+    A count is of different surroundings, the word before the pair with the one after
+    it, so that copies of a text count once and a fixed phrase as often as it is used.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(it):
+            words = Words(texts, separators)
+            before = previous(words)
+            kind = np.array([classes.index(c) for c in batch.column("class").to_pylist()], dtype=np.int8)[words.owner()]
+            first = before == BEGIN
+            wide, after = np.full(len(before), BEGIN), np.full(len(before), BEGIN)
+            wide[1:] = np.where(first[1:], BEGIN, before[:-1])
+            after[:-1] = np.where(first[1:], BEGIN, words.hash[1:])
+            around = mix(wide * U(3) + after)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(before.view(np.int64)), pa.array(words.hash.view(np.int64)), pa.array(around.view(np.int64))], ["kind", "before", "word", "around"])
+
+    seen = sample.where("not held").select("class", "text").mapInArrow(run, "kind byte, before long, word long, around long").distinct()
+    columns = [F.count_if(F.col("kind") == i).cast("int").alias(f"n{i}") for i in range(len(classes))]
+    rows = seen.groupBy("before", "word").agg(*columns).toArrow()  # bounded by the sample
+    counts = np.column_stack([rows[f"n{i}"].to_numpy() for i in range(len(classes))]).astype(np.float32)
+    return rows["before"].to_numpy().view(np.uint64), rows["word"].to_numpy().view(np.uint64), counts

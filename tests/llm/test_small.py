@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ruleweave.llm import audio, decontam, gru, html_text, kneser_ney, langid, lm, minhash, packing, sharding, textnp, tokens, toxicity
+from ruleweave.llm import audio, decontam, gru, html_text, kneser_ney, langid, lm, minhash, packing, sharding, textnp, tokens, toxicity, training
 from ruleweave.llm.queries import tokenizer_file
 
 R = random.Random(3)
@@ -242,6 +242,54 @@ def test_toxicity(spark, docs):
     assert toxicity.ordinary(docs(some), labels).where("doc_id in (1002, 1003)").count() == 0
 
 
+def pairs_of(texts):
+    """Counts of all pairs of (text, class) by brute force, and the words."""
+    seen = set()
+    for t, k in texts:
+        w = [None, *t.split(), None]
+        seen.update((w[i - 1], w[i], w[i - 2] if i > 1 else None, w[i + 1], k) for i in range(1, len(w) - 1))
+    found = Counter((b, w, k) for b, w, _, _, k in seen)
+    names = sorted({(b, w) for b, w, _ in found}, key=str)
+    code = {w: textnp.Words([w]).hash[0] for w in {w for _, w in names}}
+    hashes = np.array(sorted(code.values()), dtype=np.uint64)
+    words = [w for _, w in sorted((h, w) for w, h in code.items())]
+    before = np.array([training.BEGIN if b is None else code[b] for b, _ in names], dtype=np.uint64)
+    return before, np.array([code[w] for _, w in names], dtype=np.uint64), np.array([[found[b, w, k] for k in (0, 1)] for b, w in names], dtype=np.float32), hashes, words
+
+
+def test_pair_counts(spark):
+    """Counts of surroundings by class: copies of a text count once, and each text's first word has a start mark before it."""
+    r = random.Random(5)
+    some = [(text(30, r), i % 2) for i in range(60)]
+    some += [(some[0][0], 0)] * 3
+    sample = spark.createDataFrame([(str(k), t, False) for t, k in some], "class string, text string, held boolean")
+    got = training.pair_counts(sample, textnp.NON_LETTER, ["0", "1"])
+    before, word, counts, hashes, words = pairs_of(some)
+    assert {(b, w, *n) for b, w, n in zip(*(x.tolist() for x in got), strict=True)} == {(b, w, *n) for b, w, n in zip(before.tolist(), word.tolist(), counts.tolist(), strict=True)}
+    spelt = training.spellings(sample, textnp.NON_LETTER)
+    assert spelt[0].tolist() == hashes.tolist() and spelt[1] == words
+
+
+def found_of(spark, docs, some):
+    """(share of toxic texts found, share of ordinary ones taken) of held-out (text, toxic)."""
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(some)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs([(i, t) for i, (t, _) in enumerate(some)]), labels).where("held_out").collect()
+    return [np.mean([x.predicted for x in got if some[x.doc_id][1] == y]) for y in (1, 0)]
+
+
+def test_rare_toxic_words(spark, docs):
+    """Both classes are as large, and no toxic word has 20 different words before it."""
+    r, some = random.Random(5), []
+    for i in range(480):
+        w = [r.choice(WORDS) for _ in range(60)]
+        if i % 2:
+            for at in (10, 40):
+                w[at] = f"rare{'abcdefghijklmnopqrst'[i // 2 % 20]}"
+        some.append((" ".join(w), i % 2))
+    hit, wrong = found_of(spark, docs, some)
+    assert hit > 0.8 and wrong < 0.1
+
+
 def test_audio(spark, docs, tmp_path):
     some = ODD + [(50, "é" * 32), (51, "a" * 64), (52, text(4000))]
     audio.write_media(docs(some), str(tmp_path / "m"))
