@@ -10,9 +10,10 @@ is judged by its word, and a word known to neither favours none.  A word that no
 training text has is compared by
 its spelling: a character model of the words that tell toxic texts, mixed with the
 model of ordinary words, against that model alone.  The
-log-likelihoods are compared over windows of WINDOW words, normalised by length; the
-most toxic window decides, so that one passage in a long text counts.  The score is
-calibrated on labelled rows set aside for it.
+log-likelihoods are compared over windows of WINDOW words, normalised by length, and
+over the whole text, normalised too.  The most toxic window counts, so that one
+passage in a long text does, and so does the whole, for what is mild and spread out;
+the higher of their scores decides.  Both are calibrated on labelled rows set aside.
 
 The models learn from at most `DOCS` labelled documents of each class; that bound is
 for fitting alone, and every text is scored whole.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .kneser_ney import CharModel, Memo
 from .scratch import fold, rows_where
-from .textnp import NON_LETTER, Words, batches, mix
+from .textnp import NON_LETTER, Words, batches, mix, sums
 from .training import pair_counts, previous, sampled, spellings, weights
 
 DOCS = 5000
@@ -49,6 +50,8 @@ SPELLED = 0.02
 #: Most that one such word can say; spelling alone needs a second word near it.
 UNSEEN = 0.9
 LOW, HIGH = -0.25, 6.0
+#: Toxic texts set aside that whole texts must find, less ordinary ones they take, to decide at all.
+GAIN = 3
 TOXIC, ORDINARY = "1", "0"
 
 
@@ -61,8 +64,9 @@ class Toxicity:
     pairs: np.ndarray
     after: np.ndarray
     chars: CharModel | None
-    slope: float = 0.0
-    middle: float = 0.0
+    #: slope and middle of the scores of windows and of whole texts
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    middle: np.ndarray = field(default_factory=lambda: np.zeros(2))
     #: words that this worker process has scored, in whatever task
     memo: Memo = field(default_factory=Memo)
 
@@ -88,8 +92,9 @@ class Toxicity:
         return out, inverse
 
     def evidence(self, words: Words) -> np.ndarray:
-        """The highest mean ratio over WINDOW words of each text; shorter texts count as one window."""
+        """The highest mean ratio over WINDOW words of each text, and the mean over all; shorter texts count as one window."""
         each, inverse = self.each(words)
+        whole = sums(np.clip(each, -HIGH, HIGH), words.bounds) / np.maximum(WINDOW, words.count())
         each = np.clip(each, LOW, HIGH)
         n, owner = words.count(), words.owner()
         for k in range(1, WINDOW):  # a word that stands in the window already says nothing new
@@ -106,10 +111,10 @@ class Toxicity:
             last = words.bounds[1:][long] - WINDOW + 1
             edges = np.column_stack([words.bounds[:-1][long], last]).ravel()
             out[long] = np.maximum.reduceat(np.append(means, -np.inf), edges)[::2]
-        return out
+        return np.column_stack([out, whole])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.middle), -50, 50)))
+        return (1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.middle), -50, 50)))).max(axis=1)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +165,9 @@ def interpolated(counts: np.ndarray, odds: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(before: np.ndarray, word: np.ndarray, counts: np.ndarray, hashes: np.ndarray, words: list[str]) -> Toxicity:
-    """Models from the (ordinary, toxic) counts of all pairs, and the words by sorted hash."""
-    w = np.searchsorted(hashes, word)
+def estimate(before: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[Toxicity, np.ndarray]:
+    """Models from the (ordinary, toxic) counts of all pairs, as yet without spelling; and which words it is to learn for either class."""
+    hashes, w = np.unique(word, return_inverse=True)
     starts, b = np.unique(before, return_inverse=True)
     # words: numbers of different words before them; contexts: of different words after
     kinds = np.column_stack([np.bincount(w, counts[:, k] > 0, len(hashes)) for k in (0, 1)])
@@ -172,42 +177,67 @@ def estimate(before: np.ndarray, word: np.ndarray, counts: np.ndarray, hashes: n
     context = interpolated(follow, np.full(len(starts), usual)) - usual
     # P(word | before) of a class over that of the other; a pair that neither has keeps the word's
     level = np.log(counts[:, 1].sum() / counts[:, 0].sum())
-    after = interpolated(counts, level + ratios[w] + context[b]) - level - context[b]
+    expected = level + context[b]
+    after = (interpolated(counts, expected + ratios[w]) - expected).astype(np.float32)
+    del w, b, expected
     keys = pair_keys(before, word)
     order = np.argsort(keys)
     n = kinds.sum(axis=1)
     toxic = n * (kinds[:, 1].sum() / n.sum())
     chance = 1 + CHANCE * np.sqrt(toxic * (1 - toxic / n))
     telling = (ratios > 1.5) & (kinds[:, 1] - toxic - chance > 1)
-    chars = CharModel.fit(words, np.column_stack([kinds[:, 0] > 0, telling]).astype(float), [ORDINARY, TOXIC], ORDER) if telling.any() else None
-    return Toxicity(hashes, ratios.astype(np.float32), keys[order], after[order].astype(np.float32), chars)
+    return Toxicity(hashes, ratios.astype(np.float32), keys[order], after[order], None), np.column_stack([kinds[:, 0] > 0, telling])
 
 
 def calibrate(model: Toxicity, evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | None = None) -> None:
-    """A logistic curve over the evidence: its middle at the cut with the fewest errors, its slope by Newton steps.
+    """Logistic curves over the evidence of windows and of whole texts: their middles at the cuts with the fewest errors together.
 
-    `weight` says how many texts each one stands for, as classes are not drawn alike.
+    Whole texts decide only if that mends GAIN toxic texts' worth of errors.  `weight`
+    says how many texts each one stands for, as classes are not drawn alike.
     """
-    if not len(evidence) or toxic.min() == toxic.max():
-        model.slope, model.middle = 8.0, 0.5
+    if not len(toxic) or toxic.min() == toxic.max():
+        model.slope, model.middle = np.array([8.0, 1.0]), np.array([0.5, np.inf])
         return
-    weight = np.ones(len(evidence)) if weight is None else weight
+    weight = np.ones(len(toxic)) if weight is None else weight
+    window, whole = evidence.T
+    middle, errors = cut_at(window, toxic, weight)
+    best = (middle, np.inf)
+    errors -= GAIN * weight[toxic == 1].mean()
+    for at in [np.inf, *np.quantile(window, np.linspace(0, 1, 101)), middle]:
+        left = window < at
+        second, missed = cut_at(whole[left], toxic[left], weight[left])
+        found = missed + (weight * (toxic == 0))[~left].sum()
+        if found < errors:
+            best, errors = (at, second), found
+    model.middle = np.array(best)
+    model.slope = np.array([slope_at(window, best[0], toxic, weight), slope_at(whole, best[1], toxic, weight)])
+
+
+def cut_at(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The cut with the fewest errors, and their weight."""
+    if len(evidence) < 2:
+        return np.inf, float((weight * (toxic == 1)).sum())
     order = np.argsort(evidence, kind="stable")
     x, y, w = evidence[order], toxic[order], weight[order]
-    missed = np.concatenate([[0], np.cumsum(w * (y == 1))])  # toxic texts below the cut
-    wrong = np.concatenate([[0], np.cumsum((w * (y == 0))[::-1])])[::-1]  # ordinary ones above
-    cuts = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
-    errors = (missed + wrong)[1:-1] if len(x) > 1 else missed + wrong
-    cuts = cuts[1:-1] if len(x) > 1 else cuts
+    missed = np.cumsum(w * (y == 1))[:-1]  # toxic texts below the cut
+    wrong = np.cumsum((w * (y == 0))[::-1])[::-1][1:]  # ordinary ones above
+    errors = missed + wrong
     best = np.flatnonzero(errors == errors.min())
-    model.middle = float(cuts[best[len(best) // 2]])
-    away = evidence - model.middle
+    k = best[len(best) // 2]
+    return float((x[k] + x[k + 1]) / 2), float(errors[k])
+
+
+def slope_at(evidence: np.ndarray, middle: float, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The logistic curve's slope by Newton steps; its middle is given."""
+    if np.isinf(middle):  # this evidence says nothing
+        return 1.0
+    away = evidence - middle
     slope = 1.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(slope * away, -50, 50)))
         step = ((weight * (toxic - p)) @ away - 0.01 * slope) / ((weight * p * (1 - p)) @ (away * away) + 0.01)
         slope = float(np.clip(slope + np.clip(step, -5, 5), 0.1, 40))
-    model.slope = slope
+    return slope
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = DOCS) -> Toxicity | None:
@@ -218,16 +248,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = DOC
     pairs = pair_counts(sample, NON_LETTER, [ORDINARY, TOXIC])
     if not len(pairs[0]) or not pairs[2].any(axis=0).all():
         return None
-    model = estimate(*pairs, *spellings(sample, NON_LETTER))
+    model, spelt = estimate(*pairs)
+    del pairs  # the driver has room for one of the two fits
+    pa.default_memory_pool().release_unused()
+    if spelt[:, 1].any():
+        some = spelt.any(axis=1)
+        words = [w for w, s in zip(spellings(sample, NON_LETTER)[1], some.tolist(), strict=True) if s]
+        model.chars = CharModel.fit(words, spelt[some].astype(float), [ORDINARY, TOXIC], ORDER)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(it):
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(shared.value.evidence(Words(texts, NON_LETTER)))], ["class", "evidence"])
+            window, whole = shared.value.evidence(Words(texts, NON_LETTER)).T
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(window), pa.array(whole)], ["class", "window", "whole"])
 
-    seen = sample.where("held").select("class", "text").mapInArrow(run, "class string, evidence double").toPandas()  # bounded by the sample
+    seen = sample.where("held").select("class", "text").mapInArrow(run, "class string, window double, whole double").toPandas()  # bounded by the sample
     stands_for = seen["class"].map(weights(rows, per_class)).to_numpy(dtype=float)
-    calibrate(model, seen.evidence.to_numpy(), (seen["class"] == TOXIC).to_numpy().astype(float), stands_for)
+    calibrate(model, seen[["window", "whole"]].to_numpy(), (seen["class"] == TOXIC).to_numpy().astype(float), stands_for)
     return model
 
 

@@ -290,6 +290,25 @@ def test_rare_toxic_words(spark, docs):
     assert hit > 0.8 and wrong < 0.1
 
 
+def test_phrases_and_mild_texts(spark, docs):
+    """Toxic texts of ordinary words: in a phrase of them, or in their shares over the whole text."""
+    r, some = random.Random(6), []
+    for i in range(480):
+        w = [r.choice(WORDS) for _ in range(60)]
+        for at, word in zip((5, 20, 35, 50), ("plain", "common", "plain", "common"), strict=True):
+            w[at] = word
+        if i % 2:
+            w[5:7] = w[35:37] = ["plain", "common"]
+            w[20] = w[50] = R.choice(WORDS)
+        some.append((" ".join(w), i % 2))
+    hit, wrong = found_of(spark, docs, some)
+    assert hit > 0.8 and wrong < 0.1
+    many = sorted(set(WORDS))
+    mild = [(" ".join(r.choice(many[: len(many) // 2] if i % 2 and r.random() < 0.3 else many) for _ in range(400)), i % 2) for i in range(480)]
+    hit, wrong = found_of(spark, docs, mild)
+    assert hit > 0.8 and wrong < 0.2
+
+
 def test_audio(spark, docs, tmp_path):
     some = ODD + [(50, "é" * 32), (51, "a" * 64), (52, text(4000))]
     audio.write_media(docs(some), str(tmp_path / "m"))
