@@ -74,7 +74,7 @@ def order(body: tuple[Atom, ...], first: int | None, sizes: dict[int, int]) -> l
 def body_rows(rule: Rule, frames: list[DataFrame], sizes: list[int], first: int | None = None, few: int = 0) -> DataFrame:
     """The matches of a rule's body: one column `v_X` for each variable that the head needs.
 
-    `frames[i]` is what the body's atom i reads; a frame of at most `few` rows is broadcast.
+    `frames[i]` is what the body's atom i reads; a frame of at most `few` bytes is broadcast.
     """
     at = order(rule.body, first, dict(enumerate(sizes)))
     out: DataFrame | None = None

@@ -5,8 +5,9 @@ snapshot, so the number of rounds is the depth of the recursion and not its numb
 of rules.  In a round every rule has one plan for each recursive body atom, which
 reads the last round's new rows there, rows known before that for the recursive
 atoms in front of it and all rows for those behind.  New rows are de-duplicated,
-compared with the known ones by an anti join, and written; only their count comes to
-the driver.
+compared with the known ones by an anti join, and written; only their count and size
+come to the driver.  A predicate without recursion that other rules read once at most is
+not written: it is a part of the plan that reads it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from ..functions.terms import is_null, labelled_null
 from ..plans.rules import SAME_AS, Atom, Program, Rule, RuleError, Var
 from .bodies import body_rows, literal, matches
 from .components import components
-from .tables import BROADCAST_ROWS, LARGE_ROWS, Relation, as_relation, broadcast_if, columns, counted, unify
+from .tables import BROADCAST_BYTES, Relation, as_relation, columns, counted, delete, unify
 
 SKOLEM, RESTRICTED = "skolem", "restricted"
 
@@ -46,23 +47,29 @@ class Stats:
 class Evaluation:
     """One run of a program over source relations."""
 
-    def __init__(self, spark: SparkSession, program: Program, sources: dict[str, DataFrame], chase: str = RESTRICTED, max_rounds: int | None = None, timeout: float | None = None, una: bool = False, spelled: bool = False, start: dict[str, DataFrame] | None = None, watch: Callable[[DataFrame], None] | None = None, prune: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, program: Program, sources: dict[str, DataFrame], chase: str = RESTRICTED, max_rounds: int | None = None, timeout: float | None = None, una: bool = False, spelled: bool = False, start: dict[str, Relation | DataFrame] | None = None, watch: Callable[[DataFrame], None] | None = None, prune: Callable[[DataFrame], DataFrame] | None = None, inline: bool = True):
         if chase not in (SKOLEM, RESTRICTED):
             raise RuleError(f"unknown chase {chase!r}")
         program.check({p: len(d.columns) for p, d in sources.items()})
         self.spark, self.program, self.sources = spark, program, sources
         self.chase, self.max_rounds, self.una, self.spelled = chase, max_rounds, una, spelled
         self.until = time.monotonic() + timeout if timeout else None
-        self.watch, self.prune = watch, prune
+        self.watch, self.prune, self.inline = watch, prune, inline and not watch and not prune and not any(r.is_egd() for r in program.rules)
         self.number = {id(r): i for i, r in enumerate(program.rules)}
-        self.kinds = self._kinds(start or {})
+        start = start or {}
+        self.kinds = self._kinds({p: d.frame() if isinstance(d, Relation) else d for p, d in start.items()})
         self.full: dict[str, Relation] = {}
         self.stats = Stats()
         self._sizes: dict[str, int] = {}
+        #: tables of a round that the next one does not need
+        self._given: list[str] = []
         for p in sorted(program.idb()):
             self.full[p] = Relation(spark, T.StructType([T.StructField(c, k) for c, k in zip(columns(len(self.kinds[p])), self.kinds[p], strict=True)]))
-            if start and p in start:
-                self.full[p].add(self._typed(p, start[p]), p)
+            if p in start and isinstance(start[p], Relation) and start[p].unwritten is None and start[p].schema == self.full[p].schema:
+                self.full[p] = start[p].copy()
+            elif p in start:
+                known = start[p].frame() if isinstance(start[p], Relation) else start[p]
+                self.full[p].add(self._typed(p, known), p)
         unknown = {b.pred for r in program.rules for b in r.body} - set(self.full) - set(sources)
         if unknown:
             raise RuleError(f"no source and no rule for {', '.join(sorted(unknown))}")
@@ -114,8 +121,10 @@ class Evaluation:
         return self.full[pred].frame() if pred in self.full else self.sources[pred]
 
     def size(self, pred: str) -> int:
-        """Rows, where they are counted; sources count as large."""
-        return self.full[pred].rows if pred in self.full else self._sizes.get(pred, 1 << 40)
+        """Bytes, where they are counted; other relations count as large."""
+        if pred in self.full:
+            return self.full[pred].bytes if self.full[pred].unwritten is None else 1 << 40
+        return self._sizes.get(pred, 1 << 40)
 
     # one rule
 
@@ -156,12 +165,12 @@ class Evaluation:
             for j, a in enumerate(r.body):
                 fresh = not a.negated and a.pred in recursive
                 frames.append(delta[a.pred].frame() if j == i else old[a.pred] if fresh and j < i else self.frame(a.pred))
-                sizes.append(delta[a.pred].rows if j == i else self.size(a.pred))
-            out.append(body_rows(r, frames, sizes, i, BROADCAST_ROWS))
+                sizes.append(delta[a.pred].bytes if j == i else self.size(a.pred))
+            out.append(body_rows(r, frames, sizes, i, BROADCAST_BYTES))
         return out
 
     def _whole(self, r: Rule) -> DataFrame:
-        return body_rows(r, [self.frame(b.pred) for b in r.body], [self.size(b.pred) for b in r.body], None, BROADCAST_ROWS)
+        return body_rows(r, [self.frame(b.pred) for b in r.body], [self.size(b.pred) for b in r.body], None, BROADCAST_BYTES)
 
     # rounds
 
@@ -172,7 +181,7 @@ class Evaluation:
             rows = reduce(DataFrame.unionByName, found[p]).distinct()
             if self.full[p].rows:
                 rows = self._unknown(rows, p)
-            delta[p] = self.full[p].add(self.prune(rows) if self.prune else rows, p)
+            delta[p] = self.full[p].add(self.prune(rows) if self.prune else rows, p, self.stats.rounds)
             self.stats.derived += delta[p].rows
             if delta[p].rows:
                 self.stats.new.append((self.stats.rounds, p, delta[p].rows))
@@ -183,18 +192,23 @@ class Evaluation:
     def _unknown(self, rows: DataFrame, pred: str) -> DataFrame:
         """Rows that the relation does not have.
 
-        A large relation is scanned where it lies, for the rows in question that it
-        has, if those are few; else both sides are shuffled on the whole row.
+        A relation that is no longer small is scanned where it lies, for the rows in
+        question that it has, if those are few; else both sides are shuffled on the
+        whole row.
         """
-        full, few = self.full[pred], False
-        if full.rows > LARGE_ROWS:
-            path, n = counted(rows, pred)
-            rows, few = self.spark.read.schema(full.schema).parquet(path), n <= BROADCAST_ROWS
-        right = full.frame()
-        if few:
-            right = right.join(F.broadcast(rows.toDF(*(f"k{i}" for i in range(len(rows.columns))))), [F.col(c) == F.col(f"k{i}") for i, c in enumerate(right.columns)], "left_semi")
-        right = broadcast_if(right.toDF(*(f"k{i}" for i in range(len(rows.columns)))), few)
-        return rows.join(right, [F.col(f"c{i}") == F.col(f"k{i}") for i in range(len(rows.columns))], "left_anti")
+        full = self.full[pred]
+        keys = [f"k{i}" for i in range(len(rows.columns))]
+        on = [F.col(c) == F.col(k) for c, k in zip(rows.columns, keys, strict=True)]
+        known = full.frame().toDF(*keys)
+        if full.small():
+            return rows.join(F.broadcast(known), on, "left_anti")
+        path, _, size = counted(rows, pred)
+        self._given.append(path)
+        rows = self.spark.read.schema(full.schema).parquet(path)
+        if size > BROADCAST_BYTES:
+            return rows.join(known, on, "left_anti")
+        again = known.join(F.broadcast(rows), on, "left_semi")
+        return rows.join(F.broadcast(again), on, "left_anti")
 
     def _tick(self) -> None:
         self.stats.rounds += 1
@@ -213,7 +227,7 @@ class Evaluation:
             known = {p: list(self.full[p].paths) for p in recursive}
             found: dict[str, list[DataFrame]] = defaultdict(list)
             for r in rules:
-                if any(not b.negated and b.pred in self.full and not self.full[b.pred].rows for b in r.body):
+                if any(not b.negated and b.pred in self.full and not self.full[b.pred].rows and self.full[b.pred].unwritten is None for b in r.body):
                     continue
                 for p, dfs in self._heads(r, self._whole(r)).items():
                     found[p] += dfs
@@ -232,6 +246,12 @@ class Evaluation:
                         found[p] += dfs
             delta = self._store(found)
             before = now
+            used = {x for d in (*delta.values(), *(self.full[p] for p in recursive)) for x in d.paths} | {x for xs in before.values() for x in xs}
+            for p in recursive:
+                self.full[p].tidy(used)
+            for path in self._given:
+                delete(self.spark, path)
+            self._given.clear()
         return changed
 
     def carry(self, rules: list[Rule], delta: dict[str, Relation]) -> dict[str, Relation]:
@@ -243,13 +263,16 @@ class Evaluation:
         for p in heads:
             fresh = [x for x in self.full[p].paths if x not in known[p]]
             out[p] = Relation(self.spark, self.full[p].schema, fresh + (delta[p].paths if p in delta and delta[p].rows else []))
-            out[p].rows = out[p].frame().count()
+            path, out[p].rows, out[p].bytes = counted(out[p].frame(), p)
+            out[p].paths = [path]
         return out
 
     def run(self) -> Evaluation:
         began = time.monotonic()
         try:
             for rules in self.program.strata():
+                if self.inline and self._inline(rules):
+                    continue
                 plain = [r for r in rules if not r.existential() and not r.is_egd()]
                 loose = [r for r in rules if r.existential()]
                 self._stratum(plain, loose)
@@ -259,12 +282,27 @@ class Evaluation:
             self.stats.seconds = time.monotonic() - began
         return self
 
+    def _inline(self, rules: list[Rule]) -> bool:
+        """Leave a predicate unwritten, if that is as good: it is not recursive, and read at most once."""
+        heads = {h.pred for r in rules for h in r.heads}
+        simple = len(heads) == 1 and not any(r.existential() or len(r.heads) > 1 for r in rules) and not any(b.pred in heads for r in rules for b in r.body)
+        pred = next(iter(heads))
+        reads = sum(b.pred == pred for r in self.program.rules for b in r.body)
+        again = {h.pred for g in self.program.strata() for r in g if any(b.pred in {h.pred for q in g for h in q.heads} for b in r.body) for h in r.heads}
+        looped = any(b.pred == pred and (r.existential() or any(h.pred in again for h in r.heads)) for r in self.program.rules for b in r.body)
+        if not simple or reads > 1 or looped or self.full[pred].rows:
+            return False
+        self._tick()
+        rows = [df for r in rules for df in self._heads(r, self._whole(r))[pred]]
+        self.full[pred].unwritten = reduce(DataFrame.unionByName, rows).distinct()
+        return True
+
     def _settle(self, rules: list[Rule]) -> None:
         """Write the sources that are read in every round, once; their sizes are known from then on."""
         heads = {h.pred for r in rules for h in r.heads}
         again = [r for r in rules if r.existential() or any(b.pred in heads for b in r.body)]
         for p in sorted({b.pred for r in again for b in r.body} & set(self.sources) - set(self._sizes)):
-            path, self._sizes[p] = counted(self.sources[p], p)
+            path, _, self._sizes[p] = counted(self.sources[p], p)
             self.sources = {**self.sources, p: self.spark.read.schema(self.sources[p].schema).parquet(path)}
 
     def _stratum(self, plain: list[Rule], loose: list[Rule]) -> None:
@@ -310,20 +348,23 @@ class Evaluation:
                 new = merged.select(F.col("node").cast(f.dataType).alias(f"n{i}"), F.col("root").cast(f.dataType).alias(f"r{i}"))
                 df = df.join(new, df[f.name] == new[f"n{i}"], "left").withColumn(f.name, F.coalesce(f"r{i}", f.name)).drop(f"n{i}", f"r{i}")
             block = Relation(self.spark, df.schema)
-            block.add(df.distinct(), p)
+            block.add(df.distinct(), p, self.stats.rounds)
             if p in self.full:
                 self.full[p] = block
             else:
-                self._sizes[p] = block.rows
+                self._sizes[p] = block.bytes
                 self.sources = {**self.sources, p: block.frame()}
 
 
 def select(df: DataFrame, query: Atom, constants: bool = False) -> DataFrame:
-    """Answers to an atom: its variables, or all its arguments, as columns."""
+    """Answers to an atom: its variables, or all its arguments, as columns; `df` is a set of rows."""
     rows = matches(query, df, "q")
+    names = [a.name for a in query.args if isinstance(a, Var)]
     if constants:
-        return rows.select(*(F.col(f"v_{a.name}").alias(f"c{i}") if isinstance(a, Var) else literal(a, df.schema[i].dataType).alias(f"c{i}") for i, a in enumerate(query.args))).distinct()
-    return rows.toDF(*(c[2:] for c in rows.columns)).distinct()
+        rows = rows.select(*(F.col(f"v_{a.name}").alias(f"c{i}") if isinstance(a, Var) else literal(a, df.schema[i].dataType).alias(f"c{i}") for i, a in enumerate(query.args)))
+    else:
+        rows = rows.toDF(*(c[2:] for c in rows.columns))
+    return rows if names else rows.distinct()  # every variable is kept, so nothing can repeat
 
 
 __all__ = ["RESTRICTED", "SAME_AS", "SKOLEM", "Evaluation", "Stats", "TimedOut", "as_relation", "select"]

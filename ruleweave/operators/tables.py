@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -13,34 +14,52 @@ from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
 _made: list[tuple[SparkSession, str]] = []
-#: A side is broadcast if a written table shows that it has at most so many rows.
-BROADCAST_ROWS = 100_000
-#: A relation of more rows than this is not shuffled to compare a few new rows with it.
-LARGE_ROWS = 1_000_000
+#: A side is broadcast if a written table shows that it has at most so many bytes in memory.
+BROADCAST_BYTES = 16 << 20
+#: The round in which a row was found, a column of the files that relations do not show.
+ROUND = "_round"
 #: A relation of more blocks than this is written anew as one.
 BLOCKS = 16
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and all tasks run on this machine."""
     base = spark.conf.get(_SETTING, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ruleweave-")
         spark.conf.set(_SETTING, base)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path for a table that goes with this process."""
+    out = f"{folder(spark)}/ruleweave/{re.sub(r'[^A-Za-z0-9_.-]', '_', tag)}-{uuid.uuid4().hex}"
+    _made.append((spark, out))
+    return out
+
+
 def write(df: DataFrame, tag: str) -> str:
-    return counted(df, tag)[0]
+    out = new_path(df.sparkSession, tag)
+    df.write.parquet(out)
+    return out
 
 
-def counted(df: DataFrame, tag: str) -> tuple[str, int]:
-    """Write `df`; (path, rows), the rows counted on the way."""
-    spark, seen = df.sparkSession, Observation()
-    out = f"{folder(spark)}/ruleweave/{tag.replace('/', '_').replace(':', '_')}-{uuid.uuid4().hex}"
-    _made.append((spark, out))
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(out)
-    return out, seen.get["rows"]
+def counted(df: DataFrame, tag: str) -> tuple[str, int, int]:
+    """Write `df`; (path, rows, bytes in memory), counted on the way."""
+    seen, out = Observation(), new_path(df.sparkSession, tag)
+    long = [F.octet_length(F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    fixed = 16 * len(df.schema)
+    size = F.sum(sum(long, F.lit(0)).cast("long") + fixed)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).write.parquet(out)
+    return out, seen.get["rows"], seen.get["bytes"]
+
+
+def delete(spark: SparkSession, out: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
@@ -48,9 +67,7 @@ def clear() -> None:
     """Delete what this process wrote."""
     for spark, out in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(out)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, out)
         except Exception:  # the session may be gone; the folder belongs to the cluster then
             break
     _made.clear()
@@ -58,31 +75,57 @@ def clear() -> None:
 
 @dataclass
 class Relation:
-    """A set of rows as written blocks, one for each round that found any."""
+    """A set of rows as written blocks, one for each round that found any; or rows that are not written yet."""
 
     spark: SparkSession
     schema: T.StructType
     paths: list[str] = field(default_factory=list)
     rows: int = 0
+    bytes: int = 0
+    #: rows that are read once at most and so are left where they come from
+    unwritten: DataFrame | None = None
+    #: blocks of another relation, which are not this one's to delete; and own ones that newer ones have replaced
+    adopted: set[str] = field(default_factory=set)
+    stale: list[str] = field(default_factory=list)
 
     def frame(self) -> DataFrame:
+        if self.unwritten is not None:
+            return self.unwritten
         if not self.paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
-    def add(self, df: DataFrame, tag: str) -> Relation:
-        """Write `df` as a new block; returns that block as a relation, empty blocks included."""
-        path, rows = counted(df, tag)
-        block = Relation(self.spark, self.schema, [path], rows)
+    def staged(self) -> DataFrame:
+        """The rows, each with the number of its round."""
+        if self.unwritten is not None or not self.paths:
+            return self.frame().withColumn(ROUND, F.lit(0))
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField(ROUND, T.IntegerType())])).parquet(*self.paths)
+
+    def copy(self) -> Relation:
+        """The same blocks, to which others may be added."""
+        return Relation(self.spark, self.schema, list(self.paths), self.rows, self.bytes, self.unwritten, set(self.paths))
+
+    def add(self, df: DataFrame, tag: str, number: int = 0) -> Relation:
+        """Write `df` as a new block of a round; returns that block as a relation, empty blocks included."""
+        path, rows, size = counted(df.withColumn(ROUND, F.lit(number)), tag)
+        block = Relation(self.spark, self.schema, [path], rows, size)
         if block.rows:
             self.paths.append(path)
-            self.rows += block.rows
+            self.rows += rows
+            self.bytes += size
             if len(self.paths) > BLOCKS:
-                self.paths = [write(self.frame(), tag)]
+                self.stale += [x for x in self.paths if x not in self.adopted]
+                self.paths = [write(self.staged(), tag)]
         return block
 
+    def tidy(self, used: set[str]) -> None:
+        """Delete replaced blocks, but for those still in use."""
+        for path in [x for x in self.stale if x not in used]:
+            delete(self.spark, path)
+            self.stale.remove(path)
+
     def small(self) -> bool:
-        return self.rows <= BROADCAST_ROWS
+        return self.unwritten is None and self.bytes <= BROADCAST_BYTES
 
 
 def columns(n: int) -> list[str]:
@@ -102,11 +145,11 @@ def unify(kinds: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
-def as_relation(df: DataFrame) -> DataFrame:
-    """`df` as a set of rows c0, c1, ...; rows with a null are no facts."""
-    named = df.toDF(*columns(len(df.columns)))
-    return named.dropna().distinct()
+def as_facts(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ...; rows with a null are no facts.  Rows may repeat: what is derived from them will not."""
+    return df.toDF(*columns(len(df.columns))).dropna()
 
 
-def broadcast_if(df: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(df) if few else df
+def as_relation(df: DataFrame) -> DataFrame:
+    """`df` as a set of facts."""
+    return as_facts(df).distinct()

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import triggers
+from .operators.bodies import literal
 from .operators.fixpoint import RESTRICTED, SKOLEM, Evaluation, TimedOut, select
 from .operators.incremental import updated
-from .operators.tables import as_relation, write
+from .operators.tables import ROUND, Relation, as_facts, as_relation, delete, write
 from .operators.termination import Ends, termination
 from .plans import equality, magic
 from .plans.rules import Atom, Program, RuleError, Var, atom
@@ -31,6 +33,12 @@ class Reasoner:
         self.sources: dict[str, DataFrame] = {}
         self.program = Program()
         self.model: dict[str, DataFrame] | None = None
+        #: the model's blocks, while they are known
+        self.blocks: dict[str, Relation] | None = None
+        self.source_blocks: dict[str, Relation] = {}
+        self.retired: set[str] = set()
+        #: sources as the model has them: equality may have put other terms in their place
+        self.merged: dict[str, DataFrame] = {}
         self.last: Evaluation | None = None
         self.prepared: dict[Atom, DataFrame] = {}
 
@@ -40,7 +48,7 @@ class Reasoner:
         """A DataFrame as a predicate; it takes the place of an earlier one of that name."""
         if self.program.rules:
             raise RuleError("sources are fixed once rules are set")
-        self.sources[pred] = as_relation(df)
+        self.sources[pred] = as_facts(df)
         return self
 
     def add_facts(self, pred: str, facts: Iterable[tuple]) -> Reasoner:
@@ -72,6 +80,7 @@ class Reasoner:
             raise RuleError(f"unknown treatment of equality {same_as!r}")
         program.check({p: len(d.columns) for p, d in self.sources.items()})
         self.program, self.model, self.last, self.prepared = program, None, None, {}
+        self.blocks, self.merged = None, {}
         return self
 
     # model
@@ -85,26 +94,42 @@ class Reasoner:
         except TimedOut:
             return False
         finally:
-            self.model = {p: run.frame(p) for p in self.program.idb()}
-            self.sources = run.sources
+            self._take(run.full)
+            self.merged = {p: d for p, d in run.sources.items() if any(r.is_egd() for r in self.program.rules)}
         return True
 
+    def _take(self, blocks: dict[str, Relation]) -> None:
+        self.blocks = {p: blocks[p] for p in self.program.idb()}
+        self.model = {p: r.frame() for p, r in self.blocks.items()}
+
     def materialize_linear(self) -> Reasoner:
         """The model of a linear program, without rounds."""
-        self.model = triggers.materialise(self.program, self.sources)
+        self.model, self.blocks, self.last = triggers.materialise(self.program, self.sources), None, None
         return self
 
     def update(self, removed: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None) -> Reasoner:
-        """Change source rows and bring the model up to date."""
+        """Change source rows and bring the model up to date.
+
+        Blocks that an update replaces are deleted by the next one: frames taken from
+        the model are good until then.
+        """
         if self.model is None:
             raise RuleError("there is no model to update")
-        self.prepared = {}
-        self.sources, self.model = updated(self.spark, self.program, self.sources, self.model, removed, added)
+        self.prepared, self.last = {}, None
+        known = self.blocks or {p: Relation(self.spark, d.schema, unwritten=d) for p, d in self.model.items()}
+        changed, blocks = updated(self.spark, self.program, self.sources, known, removed, added, self.source_blocks)
+        before = {x for r in (*known.values(), *self.source_blocks.values()) for x in r.paths}
+        self.sources |= {p: r.frame() for p, r in changed.items()}
+        self.source_blocks |= changed
+        self._take(blocks)
+        for path in self.retired:
+            delete(self.spark, path)
+        self.retired = before - {x for r in (*self.blocks.values(), *self.source_blocks.values()) for x in r.paths}
         return self
 
     def facts(self, pred: str) -> DataFrame:
         if pred in self.sources:
-            return self.sources[pred]
+            return self.merged[pred] if pred in self.merged else self.sources[pred].distinct()
         if pred not in self.program.idb():
             raise RuleError(f"unknown predicate {pred}")
         if self.model is None:
@@ -146,8 +171,9 @@ class Reasoner:
         used = {b.pred for r in program.rules for b in r.body}
         read = {p: d for p, d in self.sources.items() if p in used}
         if seed:
-            given = [a for a in q.args if not isinstance(a, Var)] or [0]
-            read[seed] = sources.rows(self.spark, [tuple(given)])
+            kinds = Evaluation(self.spark, self.program, self.sources).kinds[q.pred]
+            given = [literal(a, k) for a, k in zip(q.args, kinds, strict=True) if not isinstance(a, Var)] or [F.lit(0)]
+            read[seed] = self.spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(given))).dropna()
         run = Evaluation(self.spark, program, read).run()
         self.last = run
         return select(run.frame(goal.pred), goal, constants)
@@ -216,11 +242,8 @@ class Reasoner:
             sinks.ntriples(model, self.program, first, path)
         elif form == "tsv" and self.last:
             for p in model:
-                steps = [n for n, q, _ in self.last.stats.new if q == p]
-                blocks = self.last.full[p]
-                read = self.spark.read.schema(blocks.schema)
-                pairs = [(n, read.parquet(x)) for n, x in zip(steps, blocks.paths, strict=False)] or [(0, model[p])]
-                sinks.tsv(pairs, f"{path.rstrip('/')}/{sinks.file_name(p)}")
+                rows = self.last.full[p].staged()
+                sinks.tsv(rows if nulls else sinks.without_nulls(rows), f"{path.rstrip('/')}/{sinks.file_name(p)}", ROUND)
         else:
             sinks.write(model, path, form)
 

@@ -27,10 +27,10 @@ def csv(df: DataFrame, path: str, nulls: bool = True) -> None:
     (df if nulls else without_nulls(df)).write.option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def tsv(blocks: list[tuple[int, DataFrame]], path: str) -> None:
-    """Tab-separated text with the round in which each row was found in front."""
-    for i, (number, df) in enumerate(blocks):
-        df.select(F.lit(number).alias("round"), *(F.col(c).cast("string").alias(c) for c in df.columns)).write.mode("overwrite" if i == 0 else "append").option("sep", "\t").csv(path)
+def tsv(df: DataFrame, path: str, number: str | None = None) -> None:
+    """Tab-separated text with the round in which each row was found, column `number` or else 0, in front."""
+    rest = [F.col(c).cast("string").alias(c) for c in df.columns if c != number]
+    df.select((F.col(number) if number else F.lit(0)).alias("round"), *rest).write.option("sep", "\t").csv(path)
 
 
 def ntriples(model: dict[str, DataFrame], program: Program, triples: str, path: str, per_file: int = 10_000_000) -> None:
@@ -67,4 +67,4 @@ def write(frames: dict[str, DataFrame], path: str, form: str) -> None:
         elif form == "csv":
             csv(df, to)
         else:
-            tsv([(0, df)], to)
+            tsv(df, to)
