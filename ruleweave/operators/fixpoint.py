@@ -63,6 +63,8 @@ class Evaluation:
         self._sizes: dict[str, int] = {}
         #: tables of a round that the next one does not need
         self._given: list[str] = []
+        #: blocks that the caller of a saturation still reads
+        self._held: set[str] = set()
         for p in sorted(program.idb()):
             self.full[p] = Relation(spark, T.StructType([T.StructField(c, k) for c, k in zip(columns(len(self.kinds[p])), self.kinds[p], strict=True)]))
             if p in start and isinstance(start[p], Relation) and start[p].unwritten is None and start[p].schema == self.full[p].schema:
@@ -246,7 +248,7 @@ class Evaluation:
                         found[p] += dfs
             delta = self._store(found)
             before = now
-            used = {x for d in (*delta.values(), *(self.full[p] for p in recursive)) for x in d.paths} | {x for xs in before.values() for x in xs}
+            used = self._held | {x for d in (*delta.values(), *(self.full[p] for p in recursive)) for x in d.paths} | {x for xs in before.values() for x in xs}
             for p in recursive:
                 self.full[p].tidy(used)
             for path in self._given:
@@ -258,6 +260,7 @@ class Evaluation:
         """Saturate rules from new rows; returns all rows that this added, by predicate."""
         heads = {h.pred for r in rules for h in r.heads}
         known = {p: set(self.full[p].paths) for p in heads}
+        self._held |= {x for d in delta.values() for x in d.paths}
         self._saturate(rules, delta)
         out = {}
         for p in heads:

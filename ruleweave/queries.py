@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import triggers
+from .operators.tables import new_path
 from .operators.topk import top_k
+from .plans.rules import Program
 from .reasoner import Reasoner
+from .sources import sinks
+from .sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,9 +133,13 @@ def supplier_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.query("only(X,Y)", "mat").toDF("x", "y")
 
 
-@query("neg_no_orders", "SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def neg_no_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer(spark, sf_dir, "has(C) :- orders(O,C)\nnone(C) :- customer(C,N), ~has(C)", "none(C)", "c")
+@query("neg_no_large_orders", "SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def neg_no_large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an order of a high price."""
+    r = small_tables(spark, sf_dir)
+    r.add_source("large", table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_orderkey", "o_custkey"))
+    r.set_rules("has(C) :- large(O,C)\nnone(C) :- customer(C,N), ~has(C)").materialize()
+    return r.query("none(C)", "mat").toDF("c")
 
 
 @query("neg_suppliers", "SELECT DISTINCT s_suppkey AS s FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
@@ -160,9 +169,11 @@ def const_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small_tables(spark, sf_dir).query("nation(N,M,2)", constants=True).withColumn("c2", F.col("c2").cast("int"))
 
 
-@query("repeated_var", "SELECT DISTINCT c_custkey AS x FROM customer WHERE c_custkey = c_nationkey")
+@query("repeated_var", "SELECT DISTINCT l_orderkey AS o, l_linenumber AS x FROM lineitem WHERE l_linenumber = CAST(l_quantity AS INTEGER)")
 def repeated_var(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small_tables(spark, sf_dir).query("customer(X,X)").toDF("x")
+    """Lines whose number is their quantity: one variable at two places."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int"))
+    return Reasoner(spark).add_source("line", lines).query("line(O,X,X)").toDF("o", "x")
 
 
 @query("semi_join", "SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -240,14 +251,23 @@ def egd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.query("u(X)", "mat").toDF("root")
 
 
-@query("equality_axioms", f"WITH RECURSIVE {CONV_NEXT}, l AS (SELECT a, b FROM conv_next WHERE a < 60000 UNION SELECT b, a FROM conv_next WHERE a < 60000), r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x, y FROM r")
+@query("equality_axioms", f"WITH RECURSIVE {CONV_NEXT}, l AS (SELECT a, b FROM conv_next UNION SELECT b, a FROM conv_next), r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x, y FROM r")
 def equality_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality as plain rules: the whole relation of equal turns in the first conversations."""
-    r = Reasoner(spark).add_source("s", conv_next(spark, sf_dir).where("a < 60000")).set_rules("owl:sameAs(X,Y) :- s(X,Y)", same_as="AXIOM")
+    """Equality as plain rules: the whole relation of equal turns."""
+    r = Reasoner(spark).add_source("s", conv_next(spark, sf_dir)).set_rules("owl:sameAs(X,Y) :- s(X,Y)", same_as="AXIOM")
     r.materialize()
     return r.query("equal@(X,Y)", "mat").toDF("x", "y")
 
 
+@query("skolem_groups", "SELECT DISTINCT a.c_custkey AS x, b.n AS same FROM customer a JOIN (SELECT c_nationkey, count(DISTINCT c_custkey) AS n FROM customer GROUP BY c_nationkey) b USING (c_nationkey)")
+def skolem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With how many customers each one shares its unknown manager."""
+    r = small_tables(spark, sf_dir).set_rules("managed(N,Z) :- customer(C,N)\nby(C,Z) :- customer(C,N), managed(N,Z)")
+    r.materialize(skolem=True)
+    by = r.query("by(C,Z)", "mat")
+    return by.join(by.groupBy("Z").agg(F.count(F.lit(1)).alias("same")), "Z").select(F.col("C").alias("x"), "same")
+
+
 @query("skolem_nulls", "SELECT count(*) AS n_rows, count(DISTINCT c_nationkey) AS n_nulls FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer)")
 def skolem_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unknown manager for each nation: nulls depend on the frontier alone."""
@@ -256,16 +276,158 @@ def skolem_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.query("by(C,Z)", "mat").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("Z").alias("n_nulls"))
 
 
-@query("restricted_known", "SELECT count(*) AS n_rows, count(*) FILTER (known IS NULL) AS n_nulls FROM (SELECT DISTINCT c_custkey, (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 2 = 0) AS known FROM customer)")
+@query("restricted_known", "SELECT count(*) AS n_rows, count(*) FILTER (known IS NULL) AS n_nulls FROM (SELECT DISTINCT c_custkey, (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 3000) AS known FROM customer)")
 def restricted_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers have a supplier of their nation if one is known, else an unknown one."""
-    near = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").groupBy("s_nationkey").agg(F.min("s_suppkey").cast("string").alias("s"))
+    near = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").groupBy("s_nationkey").agg(F.min("s_suppkey").cast("string").alias("s"))
     r = small_tables(spark, sf_dir)
     r.add_source("near", near).set_rules("has(C,S) :- customer(C,N), near(N,S)\nhas(C,Z) :- customer(C,N)").materialize()
     out = r.query("has(C,S)", "mat")
     return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("S").startswith("_:")).alias("n_nulls"))
 
 
+@query("restricted_rows", "SELECT DISTINCT c_custkey AS c, (SELECT CAST(min(s_suppkey) AS VARCHAR) FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 3000) AS s FROM customer")
+def restricted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's supplier, the known one or else an unknown one, shown as a null."""
+    near = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").groupBy("s_nationkey").agg(F.min("s_suppkey").cast("string").alias("s"))
+    r = small_tables(spark, sf_dir)
+    r.add_source("near", near).set_rules("has(C,S) :- customer(C,N), near(N,S)\nhas(C,Z) :- customer(C,N)").materialize()
+    return r.query("has(C,S)", "mat").select(F.col("C").alias("c"), F.when(~F.col("S").startswith("_:"), F.col("S")).alias("s"))
+
+
+@query("without_nulls", "SELECT DISTINCT c_custkey AS c, (SELECT CAST(min(s_suppkey) AS VARCHAR) FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 3000) AS s FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000)")
+def without_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without unknown ones."""
+    near = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").groupBy("s_nationkey").agg(F.min("s_suppkey").cast("string").alias("s"))
+    r = small_tables(spark, sf_dir)
+    r.add_source("near", near).set_rules("has(C,S) :- customer(C,N), near(N,S)\nhas(C,Z) :- customer(C,N)").materialize()
+    return r.query("has(C,S)", "mat", nulls=False).toDF("c", "s")
+
+
+@query("magic_types", f"WITH RECURSIVE {ORDER_SUCC}, {CLOSURE.format('order_succ')} SELECT x, y FROM t WHERE x = {FIRST}")
+def magic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magic sets with the query's constant shown, in its column's own type."""
+    r = Reasoner(spark).add_source("e", order_succ(spark, sf_dir)).set_rules(LINEAR)
+    return r.query(f"t({_first_order(spark, sf_dir)},Y)", "magic", constants=True).toDF("x", "y")
+
+
+@query("prepared", f"WITH RECURSIVE {ORDER_SUCC}, {CLOSURE.format('order_succ')} SELECT x, y FROM t WHERE x = {FIRST}")
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers worked out beforehand."""
+    goal = f"t({_first_order(spark, sf_dir)},Y)"
+    r = Reasoner(spark).add_source("e", order_succ(spark, sf_dir)).set_rules(LINEAR).prepare([goal])
+    return r.query(goal, constants=True).toDF("x", "y")
+
+
+@query("split_heads", "SELECT DISTINCT k, kind FROM (SELECT c_custkey AS k, 'in' AS kind FROM customer UNION ALL SELECT c_nationkey, 'used' FROM customer)")
+def split_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heads by way of one predicate over the variables of both."""
+    r = small_tables(spark, sf_dir).set_rules("in(C), used(N) :- customer(C,N)", multihead=True)
+    r.materialize()
+    return r.query("in(X)", "mat").select(F.col("X").alias("k"), F.lit("in").alias("kind")).union(r.query("used(X)", "mat").select(F.col("X").cast("long"), F.lit("used")))
+
+
+@query("singular_equality", f"WITH RECURSIVE {CONV_NEXT}, l AS (SELECT a, b FROM conv_next UNION SELECT b, a FROM conv_next), r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT DISTINCT r.x AS x FROM r JOIN (SELECT min(a) AS a FROM conv_next) f ON r.y = f.a")
+def singular_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What equals the first turn, by bodies that join through the equality predicate."""
+    edges = conv_next(spark, sf_dir).dropna()
+    r = Reasoner(spark).add_source("s", edges).add_source("first", edges.agg(F.min("a").alias("a")))
+    r.set_rules("owl:sameAs(X,Y) :- s(X,Y)\nend(X) :- s(X,Y)\nend(Y) :- s(X,Y)\nu(X) :- end(X), first(X)\nv(Y) :- end(Y), owl:sameAs(X,Y), first(X)", same_as="SING")
+    r.materialize()
+    return r.query("v(X)", "mat").toDF("x")
+
+
+@query("csv_round", "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS k, c_name AS n, c_mktsegment AS s FROM customer")
+def csv_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV, and read through a configuration file's text."""
+    folder = new_path(spark, "csv")
+    sinks.csv(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), f"{folder}/customers.csv")
+    r = Reasoner(spark).configure(f"EDB0_predname=c\nEDB0_type=INMEMORY\nEDB0_param0={folder}\nEDB0_param1=customers\n")
+    r.set_rules("k(K,N,S) :- c(K,N,S)").materialize()
+    return r.query("k(K,N,S)", "mat").toDF("k", "n", "s")
+
+
+TRIPLES_SQL = "SELECT DISTINCT '<c' || c_custkey || '>' AS s, '<livesIn>' AS p, '<n' || c_nationkey || '>' AS o FROM customer"
+
+
+def lives_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.format_string("<c%d>", "c_custkey").alias("s"), F.lit("<livesIn>").alias("p"), F.format_string("<n%d>", "c_nationkey").alias("o"))
+
+
+@query("ntriples_round", TRIPLES_SQL)
+def ntriples_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model written as N-Triples and read back."""
+    path = new_path(spark, "triples")
+    r = Reasoner(spark).add_source("TE", lives_in(spark, sf_dir)).set_rules("livesIn(A,B) :- TE(A,<livesIn>,B)")
+    r.materialize()
+    r.write(path, "nt")
+    return Reasoner(spark).add_source("TE", sources.ntriples(spark, path)).query("TE(S,P,O)").toDF("s", "p", "o")
+
+
+@query("triple_store", TRIPLES_SQL)
+def triple_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is partitioned by predicate: a constant predicate reads its own files."""
+    path = new_path(spark, "store")
+    names = table(spark, sf_dir, "nation").select(F.format_string("<n%d>", "n_nationkey"), F.lit("<name>"), "n_name")
+    sources.load_triples(lives_in(spark, sf_dir).union(names), path)
+    return Reasoner(spark).add_source("TE", sources.triples(spark, path)).query("TE(S,<livesIn>,O)", constants=True).toDF("s", "p", "o")
+
+
+@query("literal_rows", "SELECT DISTINCT n_name AS n, side FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES ('ASIA', 'east'), ('EUROPE', 'west')) v(r, side) ON r = r_name")
+def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that are given in the program's own text."""
+    r = Reasoner(spark).add_facts("side", [("ASIA", "east"), ("EUROPE", "west")])
+    r.add_source("nation", table(spark, sf_dir, "nation").select("n_name", "n_regionkey")).add_source("region", table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    r.set_rules("of(N,S) :- nation(N,K), region(K,R), side(R,S)").materialize()
+    return r.query("of(N,S)", "mat").toDF("n", "side")
+
+
+@query("sql_source", "SELECT n_name AS n, total FROM nation JOIN (SELECT c_nationkey, count(*) AS total FROM customer GROUP BY c_nationkey) ON c_nationkey = n_nationkey")
+def sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate as a source: rules have none."""
+    r = Reasoner(spark).add_source("count", sources.view(spark, f"SELECT c_nationkey, count(*) AS total FROM parquet.`{sf_dir}/customer.parquet` GROUP BY c_nationkey"))
+    r.add_source("nation", table(spark, sf_dir, "nation").select("n_nationkey", "n_name")).set_rules("of(N,T) :- nation(K,N), count(K,T)").materialize()
+    return r.query("of(N,T)", "mat").toDF("n", "total")
+
+
+@query("removal_list", "SELECT DISTINCT s_suppkey AS s, s_nationkey AS n FROM supplier WHERE s_acctbal > 0")
+def removal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a source hidden by a list in a text file."""
+    path = new_path(spark, "removed")
+    s = table(spark, sf_dir, "supplier")
+    s.where("s_acctbal <= 0").select(F.format_string("%d\n%d .", "s_suppkey", "s_nationkey")).write.text(path)
+    r = Reasoner(spark).add_source("supplier", s.select("s_suppkey", "s_nationkey"))
+    gone = sources.removal_list(spark, path, 2).select(F.col("c0").cast("long"), F.col("c1").cast("int"))
+    return r.hide("supplier", gone).query("supplier(S,N)").toDF("s", "n")
+
+
+@query("termination_verdicts", "SELECT * FROM (VALUES ('ends', 'JA', 1), ('ends', 'MSA', 1), ('ends', 'MFA', 1), ('ends', 'MFC', 0), ('goes on', 'JA', 0), ('goes on', 'MSA', 0), ('goes on', 'MFA', 0), ('goes on', 'MFC', 2)) v(program, \"check\", verdict)")
+def termination_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each check says of a chase that ends and of one that does not."""
+    programs = {"ends": "w(X,Z) :- per(X)\nv(Z) :- w(X,Z)", "goes on": "par(X,Z) :- per(X)\nper(Z) :- par(X,Z)\nper(X) :- base(X)"}
+    found = [(n, c, int(Reasoner(spark).set_rules(t).check_termination(c))) for n, t in programs.items() for c in ("JA", "MSA", "MFA", "MFC")]
+    return spark.createDataFrame(found, "program string, check string, verdict int")
+
+
+@query("source_sets", "SELECT * FROM (VALUES ('a,b'), ('c')) v(sources)")
+def source_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets of sources from which a predicate may be derived."""
+    found = triggers.depends(Program.parse("p(X) :- a(X), q(X)\nq(X) :- b(X)\np(X) :- c(X)\nq(X) :- q(X), a(X)"), "p")
+    return spark.createDataFrame([(",".join(x),) for x in found], "sources string")
+
+
+@query("update_folder", f"WITH RECURSIVE {ORDER_SUCC}, e AS (SELECT a, b FROM order_succ WHERE a % 10 <> 4), {CLOSURE.format('e')} SELECT x, y FROM t")
+def update_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model brought up to date by the files of a folder."""
+    e = order_succ(spark, sf_dir).dropna()
+    folder = new_path(spark, "changes")
+    sinks.csv(e.where("a % 10 = 4"), f"{folder}/e_remove.csv")
+    sinks.csv(e.where("a % 10 = 7"), f"{folder}/e_add.csv")
+    r = Reasoner(spark).add_source("e", e.where("a % 10 <> 7")).set_rules(LINEAR)
+    r.materialize()
+    return r.update_from(folder).query("t(X,Y)", "mat").toDF("x", "y")
+
+
 @query("dred_delete", f"WITH RECURSIVE {ORDER_SUCC}, e AS (SELECT a, b FROM order_succ WHERE a % 10 <> 3), {CLOSURE.format('e')} SELECT x, y FROM t")
 def dred_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model after a tenth of its edges is gone, by overdeletion and rederivation."""

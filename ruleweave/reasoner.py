@@ -127,6 +127,14 @@ class Reasoner:
         self.retired = before - {x for r in (*self.blocks.values(), *self.source_blocks.values()) for x in r.paths}
         return self
 
+    def update_from(self, folder: str) -> Reasoner:
+        """Changes from the files `<source>_remove.csv` and `<source>_add.csv` of a folder."""
+        return self.update(*sources.changes(self.spark, folder, self.sources))
+
+    def derived(self, pred: str, source: str) -> DataFrame:
+        """Facts of a predicate that a source of the same arity does not have."""
+        return sources.without(self.facts(pred), self.facts(source))
+
     def facts(self, pred: str) -> DataFrame:
         if pred in self.sources:
             return self.merged[pred] if pred in self.merged else self.sources[pred].distinct()

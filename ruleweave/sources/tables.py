@@ -81,9 +81,25 @@ def without(df: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def removal_list(spark: SparkSession, path: str, arity: int) -> DataFrame:
-    """Rows of a text file of terms parted by white space, a full stop ending each row."""
-    words = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s*\.\s*$", "")), r"\s+").alias("w"))
-    return words.where(F.size("w") == arity).select(*(F.col("w")[i].alias(f"c{i}") for i in range(arity)))
+    """Rows of a text file of terms parted by white space; a full stop at a line's end closes a row, which may take several lines."""
+    words = spark.read.option("lineSep", ".\n").text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
+    words = words.select(F.filter("w", lambda x: ~x.isin("", ".")).alias("w")).where(F.size("w") > 0)
+    wrong = F.raise_error(F.concat(F.lit(f"not {arity} terms: "), F.array_join("w", " "))).cast("string")
+    return words.select(*(F.when(F.size("w") == arity, F.col("w")[i]).otherwise(wrong).alias(f"c{i}") for i in range(arity)))
+
+
+def changes(spark: SparkSession, folder: str, source: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(removed, added) rows of sources, from the files `<pred>_remove.csv` and `<pred>_add.csv` of a folder, in the sources' types."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: tuple[dict[str, DataFrame], dict[str, DataFrame]] = ({}, {})
+    for pred, df in source.items():
+        for found, end in zip(out, ("remove", "add"), strict=True):
+            file = f"{folder.rstrip('/')}/{pred}_{end}.csv"
+            at = jvm.org.apache.hadoop.fs.Path(file)
+            if at.getFileSystem(conf).exists(at):
+                rows = csv(spark, file, arity=len(df.columns))
+                found[pred] = rows.select(*(F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, df.schema, strict=True)))
+    return out
 
 
 def _in_memory(spark: SparkSession, p: list[str]) -> DataFrame:
