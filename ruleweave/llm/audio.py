@@ -4,8 +4,9 @@ A payload is stored as the samples of a mono 8-bit WAV file in a binary column.
 Features come from the stored bytes: a polyphase filter resamples them, overlapped
 windows give log-mel bands, and an energy curve with two thresholds gives segments:
 a segment holds the frames above the low one around any frame above the high one.
-Each segment is a fixed-shape tensor of pooled bands with its time span; a row's
-segments are an Arrow IPC stream with a fixed_shape_tensor column.
+Each segment is a fixed-shape tensor of pooled bands, in half precision, with its time
+span; a row's segments are stored as an Arrow IPC stream with a fixed_shape_tensor
+column, and digests are taken from what is read back.
 
 Every row is worked on by itself, so equal payloads have equal features, and frames
 are taken in blocks, so memory follows the longest payload's samples and not its
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import batches
+from .textnp import batches, trim
 
 RATE = 16_000
 UP, DOWN = 1, 2
@@ -38,6 +39,8 @@ WINDOW, HOP, BANDS = 256, 128, 32
 BINS = 8
 UNIT = 64
 HEADER = 44
+#: Payloads that are worked on at a time.
+ROWS = 256
 #: Shares of the range between the 10th and 95th percentile of frame energy.
 LOW, HIGH = 0.3, 0.6
 LEVEL_DB = 3.0
@@ -143,8 +146,8 @@ def features(payload: bytes, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
 
 def tensor_stream(spans: np.ndarray, tensors: np.ndarray) -> bytes:
     """An Arrow IPC stream: start, end and a fixed-shape tensor for each segment."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [BINS, BANDS])
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), BINS * BANDS)
+    kind = pa.fixed_shape_tensor(pa.float16(), [BINS, BANDS])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.astype(np.float16).ravel()), BINS * BANDS)
     table = pa.record_batch([pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(kind, flat)], names=["start", "end", "bands"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -152,6 +155,14 @@ def tensor_stream(spans: np.ndarray, tensors: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def read_stream(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, tensors) of such a stream."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    spans = np.column_stack([table["start"].to_numpy(), table["end"].to_numpy()])
+    flat = table["bands"].chunk(0).storage.flatten().to_numpy() if len(spans) else np.zeros(0, np.float16)
+    return spans, flat.reshape(len(spans), BINS, BANDS)
+
+
 def write_media(docs: DataFrame, out: str, text: str = "text", key: str = "doc_id") -> None:
     """doc_id, n_bytes and media of each row, as Parquet."""
 
@@ -164,21 +175,44 @@ def write_media(docs: DataFrame, out: str, text: str = "text", key: str = "doc_i
     slim.mapInArrow(run, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(out)
 
 
-def described(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """Checksums and features of media(doc_id, n_bytes, media); `segments` has the tensor streams, null unless asked for."""
+def described(media: DataFrame) -> DataFrame:
+    """Checksums of media(doc_id, n_bytes, media), and `segments`: each row's tensors with their time spans."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = []
-            for stored in b.column("media").to_pylist():
-                payload = samples(stored)
-                spans, found = features(payload)
-                mark = hashlib.sha256(np.rint(found * 1000).astype("<i4").tobytes() + np.rint(spans * 1000).astype("<i4").tobytes()).hexdigest()[:32]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(spans)}x{BINS}x{BANDS}:{mark}", tensor_stream(spans, found) if tensors else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments"]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", *names])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments binary"
+        trim()
+        for whole in it:
+            for k in range(0, whole.num_rows, ROWS):
+                b, rows = whole.slice(k, ROWS), []
+                for stored in b.column("media").to_pylist():
+                    payload = samples(stored)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), tensor_stream(*features(payload))))
+                columns = list(zip(*rows, strict=True))
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", *names])
+        trim()
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments binary"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def write_features(media: DataFrame, out: str) -> None:
+    """`described` rows, as Parquet."""
+    described(media).write.option("compression", "zstd").parquet(out)
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """Stored rows of `described` with `feature`, the number, shape and checksum of the tensors that they hold, in place of `segments`."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            marks = []
+            for data in b.column("segments").to_pylist():
+                spans, tensors = read_stream(data)
+                mark = hashlib.sha256(tensors.astype("<f2").tobytes() + np.rint(spans * 1000).astype("<i4").tobytes()).hexdigest()[:32]
+                marks.append(f"{len(spans)}x{BINS}x{BANDS}:{mark}")
+            kept = [c for c in b.schema.names if c != "segments"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(marks, pa.string())], [*kept, "feature"])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return found.mapInArrow(run, schema)

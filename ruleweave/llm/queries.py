@@ -37,7 +37,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, over all documents."""
     from . import minhash
 
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tie")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), share=85).drop("tie")
 
 
 def op4_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,9 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = scratch.path(spark, "media")
     audio.write_media(table(spark, sf_dir, "documents"), out)
-    return audio.described(spark.read.parquet(out), tensors=False).drop("segments")
+    found = scratch.path(spark, "audio-features")
+    audio.write_features(spark.read.parquet(out), found)
+    return audio.digests(spark.read.parquet(found))
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,17 +94,22 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_blocks": op1_token_blocks,
-    "op2_main_text": op2_main_text,
-    "op3_near_duplicates": op3_near_duplicates,
-    "op4_packed": op4_packed,
-    "op5_languages": op5_languages,
-    "op6_toxicity": op6_toxicity,
-    "op7_audio": op7_audio,
-    "op8_contamination": op8_contamination,
-    "op9_lm_scores": op9_lm_scores,
-    "op10_shards": op10_shards,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def program(query: Query) -> Query:
+    """The query as a program of its own, which sets up its session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scratch.small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: program(f)
+    for f in (op1_token_blocks, op2_main_text, op3_near_duplicates, op4_packed, op5_languages, op6_toxicity, op7_audio, op8_contamination, op9_lm_scores, op10_shards)
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,7 +156,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+SHARDS_SQL = """
+WITH tab AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32 FROM bytes, tab),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER () AS total FROM sized),
+cutted AS (SELECT *, CAST(least(15, (2 * (upto - size) + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cutted
+"""
+
 SQL: dict[str, str] = {
+    "op10_shards": SHARDS_SQL,
     "op3_near_duplicates": NEAR_SQL,
     "op8_contamination": CONTAMINATION_SQL,
 }

@@ -2,61 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.tables import new_path, write
 
-_SETTING = "spark.checkpoint.dir"
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_ROWS = 2048
-_made: list[tuple[SparkSession, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get(_SETTING, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="ruleweave-")
-        spark.conf.set(_SETTING, base)
-    return base.rstrip("/")
 
 
 def path(spark: SparkSession, tag: str) -> str:
-    out = f"{folder(spark)}/ruleweave/{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, out))
-    return out
+    """A path in the folder that all executors share, for a table that goes with this process."""
+    return new_path(spark, tag)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """`df`, written as Parquet and read back: its plan starts at the files."""
-    spark, out = df.sparkSession, path(df.sparkSession, tag)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
-
-
-@atexit.register
-def clear() -> None:
-    """Delete what this process wrote; called at its end."""
-    for spark, out in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(out)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone; the folder belongs to the cluster then
-            break
-    _made.clear()
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, tag))
 
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most `ARROW_ROWS` rows, where the session does not set a number itself.
 
-    The JVM and the worker each hold a batch of every running task; by default it has 10,000 rows.
+    The JVM and the worker each hold a batch of every running task; by default it has
+    10,000 rows.  This is for programs that own their session, the queries and the
+    pipeline; operators leave the session as it is.
     """
     if spark.conf.get(_ARROW, None) is None:
         spark.conf.set(_ARROW, str(ARROW_ROWS))
@@ -76,13 +51,27 @@ def fold(column: str, n: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
 
 
-#: Broadcast a side only when a count shows that it stays under so many rows.
+#: Broadcast a side only when a count shows that it stays under so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(df: DataFrame) -> F.Column:
+    """About how many bytes a row takes."""
+    parts = [F.lit(16 * len(df.columns))]
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType):
+            parts.append(F.coalesce(F.size(c), F.lit(0)) * 24)
+    return sum(parts[1:], parts[0]).cast("long")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, marked for broadcast if it has at most `rows` rows (it should be a written table); else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """`df`, marked for broadcast if it has at most `rows` rows and BROADCAST_BYTES (it should be a written table); else as it is."""
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, dropped: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -96,11 +85,9 @@ def rows_where(docs: DataFrame, decide: Callable[[list], np.ndarray], text: str
     """Rows of `docs` for which `decide(texts)` is true, with all their columns."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .textnp import slices
+        from .textnp import batches
 
-        for b in it:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            for i, j in slices(texts):
-                yield b.slice(i, j - i).filter(pa.array(decide(texts[i:j]), pa.bool_()))
+        for b, texts in batches(it, column=text):
+            yield b.filter(pa.array(decide(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,12 +8,15 @@ does not depend on where the word stands, on the batch or on the platform.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 CHUNK = 1 << 16
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
 #: `[^\x20\x09-\x0D]+`
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: everything ASCII but letters
@@ -107,6 +110,13 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def trim() -> None:
+    """Give free memory back: a worker process goes on to other tasks, and keeps the most it ever had otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` characters; a longer text stands alone."""
     i = size = 0
@@ -120,14 +130,17 @@ def slices(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int,
         yield i, len(texts)
 
 
-def batches(it: Iterable, limit: int = 2 << 20, rows: int = 512) -> Iterator[tuple[object, list[str | None]]]:
-    """(record batch slice, its texts) for Arrow batches with a `text` column: at most `rows` texts, and about `limit` characters."""
+def batches(it: Iterable, limit: int = 2 << 20, rows: int = 512, column: str = "text") -> Iterator[tuple[object, list[str | None]]]:
+    """(record batch slice, its texts) for Arrow batches with a text column: at most `rows` texts, and about `limit` characters."""
+    trim()
     for batch in it:
         for k in range(0, batch.num_rows, rows):
             part = batch.slice(k, rows)
-            texts = part.column("text").to_pylist()
+            texts = part.column(part.schema.get_field_index(column)).to_pylist()
             for i, j in slices(texts, limit):
                 yield part.slice(i, j - i), texts[i:j]
+    batch = part = texts = None
+    trim()
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
