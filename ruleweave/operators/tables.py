@@ -26,7 +26,7 @@ def folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set and all tasks run on this machine."""
     base = spark.conf.get(_SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="ruleweave-")
         spark.conf.set(_SETTING, base)

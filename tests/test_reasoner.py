@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -169,3 +171,53 @@ def test_against_plain_evaluation(spark, rules, e, f, more):
     want = naive.model(program, {"e": (set(e) - set(gone)) | set(more), "f": set(f)})
     for p in program.idb():
         assert rows(r.facts(p)) == sorted(want[p])
+
+
+def test_magic_keeps_types(spark):
+    r = reasoner(spark, {"e": [(i, i + 1) for i in range(5)]}, CLOSURE)
+    got = r.query("t(1,Y)", "magic", constants=True)
+    assert [f.dataType.typeName() for f in got.schema] == ["long", "long"] and rows(got) == [(1, y) for y in (2, 3, 4, 5)]
+    assert rows(r.query("t(x,Y)", "magic")) == []  # no number
+
+
+def test_rounds_are_kept_when_blocks_are_merged(spark, tmp_path):
+    r = reasoner(spark, {"e": [(i, i + 1) for i in range(21)]}, CLOSURE)
+    r.materialize()
+    r.write(str(tmp_path / "out"), "tsv")
+    found = [x.value.split("\t") for x in spark.read.text(str(tmp_path / "out" / "t")).collect()]
+    assert sorted((int(n), int(a), int(b)) for n, a, b in found) == sorted((d, i, i + d) for d in range(1, 22) for i in range(22 - d))
+
+
+def test_superseded_blocks_go(spark):
+    from ruleweave.operators import tables
+
+    r = reasoner(spark, {"e": [(i, i + 1) for i in range(40)]}, CLOSURE)
+    before = set(os.listdir(f"{tables.folder(spark).removeprefix('file:')}/ruleweave"))
+    r.materialize()
+    left = set(os.listdir(f"{tables.folder(spark).removeprefix('file:')}/ruleweave")) - before
+    assert len(left) <= 2 * tables.BLOCKS + 4 and r.facts("t").count() == 820
+
+
+def test_many_updates_keep_plans_small(spark):
+    """A source and a model that grow by one row at a time: reads and blocks do not grow with the updates."""
+    r = reasoner(spark, {"e": [(0, 1)]}, "t(X,Y) :- e(X,Y)\ns(Y,X) :- t(X,Y)")
+    r.materialize()
+    for i in range(1, 20):
+        r.update(added={"e": spark.createDataFrame([(i, i + 1)], "c0 long, c1 long")})
+    assert rows(r.query("s(Y,X)")) == [(i + 1, i) for i in range(20)] and len(r.blocks["s"].paths) <= 17
+    assert r.facts("t")._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
+    r.update(removed={"e": spark.createDataFrame([(3, 4), (7, 8)], "c0 long, c1 long")})
+    assert rows(r.query("t(X,Y)")) == [(i, i + 1) for i in range(20) if i not in (3, 7)]
+
+
+def test_sources_come_back_when_rules_are_set_again(spark):
+    r = reasoner(spark, {"s": [("a", "b"), ("b", "c")]}, "owl:sameAs(X,Y) :- s(X,Y)")
+    r.materialize()
+    r.set_rules("p(X,Y) :- s(X,Y)").materialize()
+    assert rows(r.facts("p")) == [("a", "b"), ("b", "c")]
+
+
+def test_derived_facts(spark):
+    r = reasoner(spark, {"e": [(1, 2), (2, 3)]}, CLOSURE)
+    r.materialize()
+    assert rows(r.derived("t", "e")) == [(1, 3)]

@@ -96,3 +96,21 @@ def test_entry_without_llm():
         for node in ast.walk(ast.parse(p.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any("llm" in n for n in names), p
+
+
+def test_removal_list_rows_cross_lines(spark, tmp_path):
+    (tmp_path / "gone.txt").write_text("<a.b>\n <c> .\nd e\t.\n\n f g .")
+    assert sorted(map(tuple, S.removal_list(spark, str(tmp_path / "gone.txt"), 2).collect())) == [("<a.b>", "<c>"), ("d", "e"), ("f", "g")]
+    with pytest.raises(Exception, match="not 3 terms"):
+        S.removal_list(spark, str(tmp_path / "gone.txt"), 3).collect()
+
+
+def test_json_and_update_folder(spark, tmp_path):
+    r = Reasoner(spark).add_facts("e", [(1, 2), (2, 3)]).set_rules("t(X,Y) :- e(X,Y)")
+    r.materialize()
+    (tmp_path / "e_add.csv").write_text("5,6\n")
+    (tmp_path / "e_remove.csv").write_text("1,2\n")
+    r.update_from(str(tmp_path))
+    assert sorted(map(tuple, r.query("t(X,Y)").collect())) == [(2, 3), (5, 6)]
+    r.write(str(tmp_path / "out"), "json")
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "out" / "t")).collect()) == ['{"c0":2,"c1":3}', '{"c0":5,"c1":6}']
