@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, small, small_batches
+from .scratch import cut, small
 from .textnp import batches
-from .tokens import AT_ONCE, bits_for, coder_for, pack, unpack
+from .tokens import AT_ONCE, Vocabulary, bits_for, pack, unpack
 
 CAPACITY = 2048
 
@@ -113,6 +113,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int, text: str, key: str) -> DataFrame:
     """doc_id, piece, start, length, ids (packed), bits, part, rank: `rank` counts pieces of a length inside a part."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer, lower))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int
         part, coder, seen = TaskContext.get().partitionId(), None, defaultdict(int)
         last = np.array([end], dtype="<u4")
         for batch, texts in batches(it, AT_ONCE):
-            coder = coder or coder_for(tokenizer, lower)
+            coder = coder or shared.value.coder()
             bits, rows = bits_for(coder.vocabulary), []
             for doc_id, coded in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
                 ids = np.concatenate([np.frombuffer(coded, dtype="<u4"), last])
@@ -140,7 +141,6 @@ def pieces(docs: DataFrame, tokenizer: str, lower: bool, capacity: int, end: int
 def pack_documents(docs: DataFrame, tokenizer: str, lower: bool = True, capacity: int = CAPACITY, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids (bytes of little-endian unsigned 32-bit ids), sequence_id, offset."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = cut(pieces(docs, tokenizer, lower, capacity, end, text, key), "pieces")
     counts = cut(rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -37,17 +37,66 @@ BYTE_PIECES = rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{LETTER}0-9]
 WORD_PIECES = rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{LETTER}0-9]+"
 #: Only on these characters do Python's classes surely agree with the tokenizers'.
 PLAIN = re.compile(f"[\t\n\r\x20-\x7e¡-©«-¬®-±´¶-¸»¿×÷‐-‧€{LETTER[6:]}]*")
-CACHE = 200_000
+#: Pieces that are remembered, in sorted arrays; and those in front of them, until there are enough to sort in.
+CACHE, YOUNG = 600_000, 40_000
 #: Characters that are encoded at a time.
 AT_ONCE = 1 << 20
 
 
+class Pieces:
+    """Ids of pieces of text by the pieces' 64-bit hashes: a few bytes a piece, so that many are remembered.
+
+    Over CACHE pieces, the half that was not used for longest goes.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.start, self.size, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.data, self.turn = b"", 0
+        self.young: dict[int, bytes] = {}
+
+    def take(self, keys: np.ndarray) -> list[bytes | None]:
+        """The ids of each piece, None where they are not known."""
+        self.turn += 1
+        out: list[bytes | None] = [None] * len(keys)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == keys)
+            at = at[hit]
+            self.last[at] = self.turn
+            data = self.data
+            for i, a, n in zip(hit.tolist(), self.start[at].tolist(), self.size[at].tolist(), strict=True):
+                out[i] = data[a : a + n]
+        if self.young:
+            known = self.young.get
+            out = [known(k) if c is None else c for k, c in zip(keys.tolist(), out, strict=True)]
+        return out
+
+    def add(self, keys: list[int], coded: list[bytes]) -> None:
+        self.young.update(zip(keys, coded, strict=True))
+        if len(self.young) < YOUNG:
+            return
+        if len(self.keys) > CACHE:
+            kept = self.last > np.median(self.last)
+            some = [self.data[a : a + n] for a, n in zip(self.start[kept].tolist(), self.size[kept].tolist(), strict=True)]
+            self.data, self.keys, self.size, self.last = b"".join(some), self.keys[kept], self.size[kept], self.last[kept]
+            self.start = np.cumsum(self.size) - self.size
+        new = np.fromiter(self.young, np.int64, len(self.young))
+        size = np.fromiter(map(len, self.young.values()), np.int64, len(new))
+        start = len(self.data) + np.cumsum(size) - size
+        self.data += b"".join(self.young.values())
+        order = np.argsort(new)
+        at = np.searchsorted(self.keys, new[order])
+        columns = ((self.keys, new), (self.start, start), (self.size, size), (self.last, np.full(len(new), self.turn, np.int32)))
+        self.keys, self.start, self.size, self.last = (np.insert(a, at, b[order]) for a, b in columns)
+        self.young = {}
+
+
 class TokenCoder:
     """Ids of texts as the tokenizers library gives them.
 
     Merges never cross the vocabulary's pre-split, so each distinct piece goes
-    through the library once and is remembered (a memory of over `CACHE` pieces
-    starts anew).  Texts with characters outside `PLAIN` go through it whole.
+    through the library once and is remembered.  Texts with characters outside `PLAIN`
+    go through the library whole.
     """
 
     def __init__(self, file: str, lower: bool):
@@ -61,45 +110,62 @@ class TokenCoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.lower = lower
         self.split = re.compile(WORD_PIECES if lower else BYTE_PIECES).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of pieces, from texts in which a mark that is always a piece of its own parts them."""
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, from texts in which a mark that is always a piece of its own parts them."""
         mark = " \x7f " if self.lower else "\n"
         sign = self.tokenizer.encode(mark, add_special_tokens=False).ids
         odd = [p for p in pieces if not p.strip() or "\n" in p]
-        self.known.update(zip(odd, self.whole(odd), strict=True))
-        pieces = [p for p in pieces if p not in self.known]
-        for k in range(0, len(pieces), 2000):
-            some = pieces[k : k + 2000]
+        known = dict(zip(odd, self.whole(odd), strict=True))
+        rest = [p for p in pieces if p not in known]
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             at, raw = np.flatnonzero(ids == sign[0]), ids.tobytes()
             if len(sign) == 1 and len(at) == len(some) - 1:
                 coded = [raw[4 * i : 4 * j] for i, j in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
             else:
                 coded = self.whole(some)
-            self.known.update(zip(some, coded, strict=True))
+            known.update(zip(some, coded, strict=True))
+        return [known[p] for p in pieces]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without an end id; null is empty."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, cut = self.known, []
+        cut = []
         for t in texts:
             t = t or ""
             cut.append(self.split(t.lower() if self.lower else t) if PLAIN.fullmatch(t) else None)
-        if new := [p for p in set().union(*(c for c in cut if c)) if p not in known]:
-            self._learn(new)
+        unique = list(set().union(*(c for c in cut if c)))
+        keys = np.fromiter(map(hash, unique), np.int64, len(unique))
+        coded = self.known.take(keys)
+        if new := [i for i, c in enumerate(coded) if c is None]:
+            learnt = self._learn([unique[i] for i in new])
+            for i, c in zip(new, learnt, strict=True):
+                coded[i] = c
+            self.known.add(keys[new].tolist(), learnt)
+        known = dict(zip(unique, coded, strict=True))
         return [self.whole([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
-@lru_cache(maxsize=2)
-def coder_for(file: str, lower: bool) -> TokenCoder:
-    """One coder for each vocabulary in a worker process, so that what it remembers serves later tasks."""
-    return TokenCoder(file, lower)
+@dataclass
+class Vocabulary:
+    """A vocabulary's coder in a worker process, made when it is first asked for.
+
+    It is sent as a broadcast: a worker keeps it, and what it remembers, for later
+    tasks of the same query, and lets it go when it works for another.
+    """
+
+    file: str
+    lower: bool
+    _coder: TokenCoder | None = None
+
+    def coder(self) -> TokenCoder:
+        self._coder = self._coder or TokenCoder(self.file, self.lower)
+        return self._coder
 
 
 def bits_for(vocabulary: int) -> int:
@@ -130,6 +196,7 @@ BLOCKS = "part int, block int, first long, n_ids long, bits int, doc_ids array<b
 
 def write(docs: DataFrame, out: str, tokenizer: str, lower: bool = False, end: int = END, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> None:
     """Encode every text of `docs` and write the blocks to `out`, documents in ascending order."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer, lower))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,7 +211,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, lower: bool = False, end: i
             return pa.RecordBatch.from_pylist([{"part": part, "block": number, "first": first, "n_ids": n, "bits": bits, "doc_ids": keys, "offsets": offsets, "ids": ids}], schema)
 
         for b, texts in texts_of(batches, AT_ONCE):
-            coder = coder or coder_for(tokenizer, lower)
+            coder = coder or shared.value.coder()
             for doc_id, coded in zip(b.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
                 held += (coded, ends)
                 n += len(coded) // 4 + 1
