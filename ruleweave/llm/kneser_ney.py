@@ -18,7 +18,8 @@ from .textnp import Words, mix
 
 U = np.uint64
 START, STOP = 2, 3
-UNIFORM = 1 / 2048
+#: The share of every character before any is seen: one of all code points.
+UNIFORM = 1 / 0x110000
 _STEP = np.random.Generator(np.random.PCG64(104729)).integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
 
 

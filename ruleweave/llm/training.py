@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -87,11 +88,25 @@ def spellings(sample: DataFrame, separators: np.ndarray) -> tuple[np.ndarray, li
     return keys[order], rows["word"].take(pa.array(order)).to_pylist()
 
 
-def pair_counts(sample: DataFrame, separators: np.ndarray, classes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes before, word hashes, counts by class) of all pairs of neighbours in the rows that are not held.
+@dataclass
+class PairCounts:
+    """Counts by class of words, of contexts and of pairs that are seen more than once; hashes are sorted for words and contexts."""
+
+    words: np.ndarray
+    of_word: np.ndarray
+    contexts: np.ndarray
+    of_context: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    of_pair: np.ndarray
+
+
+def pair_counts(sample: DataFrame, separators: np.ndarray, classes: list[str]) -> PairCounts:
+    """Counts of words after the word before, in the rows that are not held.
 
     A count is of different surroundings, the word before the pair with the one after
     it, so that copies of a text count once and a fixed phrase as often as it is used.
+    Pairs that are seen once stay on the cluster, but for their part in other counts.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +122,16 @@ def pair_counts(sample: DataFrame, separators: np.ndarray, classes: list[str]) -
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(before.view(np.int64)), pa.array(words.hash.view(np.int64)), pa.array(around.view(np.int64))], ["kind", "before", "word", "around"])
 
     seen = sample.where("not held").select("class", "text").mapInArrow(run, "kind byte, before long, word long, around long").distinct()
-    columns = [F.count_if(F.col("kind") == i).cast("int").alias(f"n{i}") for i in range(len(classes))]
-    rows = seen.groupBy("before", "word").agg(*columns).toArrow()  # bounded by the sample
-    counts = np.column_stack([rows[f"n{i}"].to_numpy() for i in range(len(classes))]).astype(np.float32)
-    return rows["before"].to_numpy().view(np.uint64), rows["word"].to_numpy().view(np.uint64), counts
+    names = [f"n{i}" for i in range(len(classes))]
+    pairs = cut(seen.groupBy("before", "word").agg(*(F.count_if(F.col("kind") == i).cast("int").alias(n) for i, n in enumerate(names))), "pairs")
+
+    def taken(df: DataFrame, *keys: str) -> list[np.ndarray]:
+        rows = df.toArrow()  # bounded by the sample
+        counts = np.column_stack([rows[n].to_numpy() for n in names]).astype(np.float32)
+        out = [rows[k].to_numpy().view(np.uint64) for k in keys]
+        order = np.argsort(out[0], kind="stable")
+        return [*(x[order] for x in out), counts[order]]
+
+    totals = [F.sum(n).alias(n) for n in names]
+    often = pairs.where(" + ".join(names) + " > 1")
+    return PairCounts(*taken(pairs.groupBy("word").agg(*totals), "word"), *taken(pairs.groupBy("before").agg(*totals), "before"), *taken(often, "before", "word"))
