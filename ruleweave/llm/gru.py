@@ -4,11 +4,13 @@ Word ids are ranks by frequency.  A word's probability is that of its class of
 `SLOTS` ids times its share within the class, so the cost of a token is the number
 of classes plus the slots of one class.  Training is by truncated back-propagation:
 windows of a few steps, with the state carried from one to the next and put to zero
-where a document begins.  Scoring carries the state through the whole document.
+where a document begins; every word of every document is trained once.  Scoring
+carries the state through the whole document.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,27 @@ SLOTS = 64
 F32 = np.float32
 
 
+class Moments:
+    """Adam's running moments of the gradients."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.turn = 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float, words: int) -> None:
+        """Move `p` against the gradients of `words` words, whose mean has a norm of 1 at most."""
+        self.turn += 1
+        scale = F32(1 / max(1, words))
+        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
+        scale *= F32(min(1.0, 1.0 / (norm + 1e-6)))
+        speed = F32(rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn))
+        for k, v in p.items():
+            d, m, s = g[k] * scale, self.first[k], self.second[k]
+            m += F32(0.1) * (d - m)
+            s += F32(0.001) * (d * d - s)
+            v -= speed * m / (np.sqrt(s) + F32(1e-8))
+
+
 @dataclass
 class Gru:
     """Parameters: embedding, input, recurrent, class and word weights, with biases."""
@@ -36,7 +59,7 @@ class Gru:
             return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(F32)
 
         p = {"e": draw(n, hidden) * F32(np.sqrt(n) * 0.3), "w": draw(hidden, 3 * hidden), "u": draw(hidden, 3 * hidden), "b": np.zeros(3 * hidden, F32)}
-        p |= {"cw": draw(hidden, classes) * F32(0.1), "cb": np.log(total).astype(F32), "ww": draw(hidden, n) * F32(0.1), "wb": np.log(by_class / total[:, None]).ravel().astype(F32)}
+        p |= {"cw": draw(hidden, classes) * F32(0.1), "cb": np.log(total).astype(F32), "ww": draw(hidden, n).reshape(hidden, classes, SLOTS).transpose(1, 0, 2).copy() * F32(0.1), "wb": np.log(by_class / total[:, None]).astype(F32)}
         return cls(p)
 
     @property
@@ -52,106 +75,125 @@ class Gru:
         c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
         return c + z * (h - c), z, r, c, a[:, 2 * n :]
 
+    def _shares(self, states: np.ndarray, weights: np.ndarray, biases: np.ndarray, edges: np.ndarray, picked: np.ndarray, g: tuple | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """log softmax of each row's `picked` output; rows `edges[c]:edges[c + 1]` take the weights c."""
+        logits = np.empty((len(states), weights.shape[2]), states.dtype)
+        groups = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+        for c, part in groups:
+            np.matmul(states[part], weights[c], out=logits[part])
+            logits[part] += biases[c]
+        if np.abs(weights).sum(axis=1).max() + np.abs(biases).max() > 60:  # else no exponential can overflow: states are within 1
+            logits -= logits.max(axis=1, keepdims=True)
+        rows = np.arange(len(states))
+        out = logits[rows, picked]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        out -= np.log(total)
+        if g is None:
+            return out, None
+        logits /= total[:, None]
+        logits[rows, picked] -= 1
+        back = np.empty_like(states)
+        for c, part in groups:
+            g[0][c] += states[part].T @ logits[part]
+            g[1][c] += np.ones(part.stop - part.start, logits.dtype) @ logits[part]
+            np.matmul(logits[part], weights[c].T, out=back[part])
+        return out, back
+
     def log_shares(self, states: np.ndarray, ids: np.ndarray, gradients: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each id's probability after its state; with `gradients`, those are added up and the states' returned."""
-        p, kind = self.p, ids // SLOTS
-        logits = states @ p["cw"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        rows = np.arange(len(ids))
-        picked = logits[rows, kind]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out = picked - np.log(total)
-        back = None
-        if gradients is not None:
-            d = logits / total[:, None]
-            d[rows, kind] -= 1
-            gradients["cw"] += states.T @ d
-            gradients["cb"] += d.sum(axis=0)
-            back = d @ p["cw"].T
+        p, g, n = self.p, gradients, len(ids)
+        kind, slot = np.divmod(ids, SLOTS)
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(len(p["cb"]) + 1))
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            some, words = order[edges[c] : edges[c + 1]], slice(c * SLOTS, (c + 1) * SLOTS)
-            s, slot = states[some], ids[some] % SLOTS
-            logits = s @ p["ww"][:, words] + p["wb"][words]
-            logits -= logits.max(axis=1, keepdims=True)
-            rows = np.arange(len(some))
-            picked = logits[rows, slot]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
-            out[some] += picked - np.log(total)
-            if gradients is not None:
-                d = logits / total[:, None]
-                d[rows, slot] -= 1
-                gradients["ww"][:, words] += s.T @ d
-                gradients["wb"][words] += d.sum(axis=0)
-                back[some] += d @ p["ww"][:, words].T
+        edges = np.searchsorted(kind[order], np.arange(len(p["ww"]) + 1))
+        out, back = self._shares(states, p["cw"][None], p["cb"][None], np.array([0, n]), kind, g and (g["cw"][None], g["cb"][None]))
+        inner, after = self._shares(states[order], p["ww"], p["wb"], edges, slot[order], g and (g["ww"], g["wb"]))
+        out[order] += inner
+        if g:
+            back[order] += after
         return out, back
 
-    def train(self, documents: list[np.ndarray], lanes: int = 32, window: int = 24, epochs: int = 2, rate: float = 4e-3) -> Gru:
-        """Adam over windows; documents follow each other in `lanes` streams."""
+    def lost(self, ids: np.ndarray, fresh: np.ndarray, inside: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+        """(gradients, last state, log probability) of one window: steps x lanes of ids.
+
+        `fresh` marks first words of documents, which follow a zero state, and `inside`
+        the places that lanes still have; `before` are the words in front of the window.
+        """
+        p, n = self.p, self.hidden
+        steps, lanes = ids.shape
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        inputs = np.concatenate([before[None], ids[:-1]]).ravel()
+        words, inverse = np.unique(inputs, return_inverse=True)
+        x = (p["e"][words] @ p["w"] + p["b"])[inverse].reshape(steps, lanes, -1)
+        live = (~fresh)[:, :, None].astype(x.dtype)
+        tape = np.empty((5, steps, lanes, n), x.dtype)  # state before, z, r, c, a
+        states = np.empty((steps, lanes, n), x.dtype)
+        for t in range(steps):
+            tape[0, t] = h
+            h, *tape[1:, t] = self.step(x[t], h)
+            states[t] = h = h * live[t]
+        logs, some = self.log_shares(states[inside], ids[inside], g)
+        back = np.zeros_like(states)
+        back[inside] = some
+        old, z, r, c, a = tape
+        by_z, by_c, by_r = (old - c) * z * (1 - z), (1 - z) * (1 - c * c), a * r * (1 - r)
+        dh, da, dc = np.zeros((lanes, n), x.dtype), np.empty_like(x), np.empty_like(states)
+        for t in range(steps - 1, -1, -1):
+            dh = (dh + back[t]) * live[t]
+            np.multiply(dh, by_z[t], out=da[t, :, :n])
+            np.multiply(dh, by_c[t], out=dc[t])
+            np.multiply(dc[t], by_r[t], out=da[t, :, n : 2 * n])
+            np.multiply(dc[t], r[t], out=da[t, :, 2 * n :])
+            dh = dh * z[t] + da[t] @ p["u"].T
+        g["u"] += old.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+        da[:, :, 2 * n :] = dc
+        order = np.argsort(inverse, kind="stable")
+        by_word = np.add.reduceat(da.reshape(-1, 3 * n)[order], np.searchsorted(inverse[order], np.arange(len(words))), axis=0)
+        g["b"] += by_word.sum(axis=0)
+        g["w"] += p["e"][words].T @ by_word
+        g["e"][words] = by_word @ p["w"].T
+        return g, h, float(logs.sum())
+
+    def train(self, documents: list[np.ndarray], rate: float = 4e-3, window: int = 16, most: int = 512, moments: Moments | None = None) -> Gru:
+        """Adam over windows of all words of all documents, by truncated back-propagation.
+
+        Documents follow each other in lanes, each in the shortest so far.  A lane that
+        ends drops out, so lanes of any lengths are trained to their ends and nothing is
+        padded.  There are as many lanes, up to `most`, as leave some 64 windows in each.
+        """
+        documents = [d for d in documents if len(d)]
+        if not documents:
+            return self
+        moments = moments or Moments(self.p)
+        total = sum(map(len, documents))
+        lanes = max(1, min(most, len(documents), total // (64 * window)))
         streams: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-        sizes = np.zeros(lanes, dtype=np.int64)
+        sizes = [(0, k) for k in range(lanes)]
         for d in documents:
-            k = int(sizes.argmin())
+            size, k = heapq.heappop(sizes)
             streams[k].append(d)
-            sizes[k] += len(d)
-        length = int(sizes.min()) // window * window
-        if not length:
-            return self
-        ids = np.stack([np.concatenate(s)[:length] for s in streams], axis=1)
-        fresh = np.stack([np.concatenate([np.arange(len(d)) == 0 for d in s])[:length] for s in streams], axis=1)
-        p, n = self.p, self.hidden
-        first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        turn, turns = 0, epochs * (length // window)
-        for _ in range(epochs):
-            h = np.zeros((lanes, n), F32)
-            before = np.zeros(lanes, dtype=np.int64)
-            for at in range(0, length, window):
-                turn += 1
-                w, new = ids[at : at + window], fresh[at : at + window]
-                inputs = np.concatenate([before[None], w[:-1]])
-                g = {k: np.zeros_like(v) for k, v in p.items()}
-                table = p["e"] @ p["w"] + p["b"]
-                states, tape = np.empty((window, lanes, n), F32), []
-                for t in range(window):
-                    live = (~new[t])[:, None].astype(F32)  # a document's first word follows a zero state
-                    old = h
-                    h, z, r, c, a = self.step(table[inputs[t]], h)
-                    tape.append((old, z, r, c, a, live))
-                    h = h * live
-                    states[t] = h
-                _, back = self.log_shares(states.reshape(-1, n), w.ravel(), g)
-                back = back.reshape(window, lanes, n)
-                dh = np.zeros((lanes, n), F32)
-                for t in range(window - 1, -1, -1):
-                    old, z, r, c, a, live = tape[t]
-                    dh = (dh + back[t]) * live
-                    dz = dh * (old - c) * z * (1 - z)
-                    dc = dh * (1 - z) * (1 - c * c)
-                    dr = dc * a * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dc], axis=1)
-                    da = np.concatenate([dz, dr, dc * r], axis=1)
-                    g["u"] += old.T @ da
-                    g["b"] += dx.sum(axis=0)
-                    x = p["e"][inputs[t]]
-                    g["w"] += x.T @ dx
-                    np.add.at(g["e"], inputs[t], dx @ p["w"].T)
-                    dh = dh * z + da @ p["u"].T
-                before = w[-1]
-                scale = F32(1 / (window * lanes))
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
-                scale *= F32(min(1.0, 1.0 / (norm + 1e-6)))
-                speed = rate * (1 - 0.9 * turn / turns) * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
-                for k, v in p.items():
-                    d = g[k] * scale
-                    first[k] += F32(0.1) * (d - first[k])
-                    second[k] += F32(0.001) * (d * d - second[k])
-                    v -= F32(speed) * first[k] / (np.sqrt(second[k]) + F32(1e-8))
+            heapq.heappush(sizes, (size + len(d), k))
+        streams.sort(key=lambda s: -sum(map(len, s)))
+        length = np.array([sum(map(len, s)) for s in streams])
+        ids = [np.concatenate(s) for s in streams]
+        fresh = [np.zeros(n, dtype=bool) for n in length]
+        for f, s in zip(fresh, streams, strict=True):
+            f[np.cumsum([0, *map(len, s[:-1])])] = True
+        h, before = np.zeros((lanes, self.hidden), F32), np.zeros(lanes, dtype=np.int64)
+        for at in range(0, int(length[0]), window):
+            live = int(np.searchsorted(-length, -at, side="left"))  # lanes longer than `at`
+            steps = min(window, int(length[0]) - at)
+            w, new = np.zeros((steps, live), dtype=np.int64), np.zeros((steps, live), dtype=bool)
+            for k in range(live):
+                part = ids[k][at : at + steps]
+                w[: len(part), k], new[: len(part), k] = part, fresh[k][at : at + steps]
+            inside = np.arange(at, at + steps)[:, None] < length[:live]
+            g, h, _ = self.lost(w, new, inside, before[:live], h[:live])
+            moments.step(self.p, g, rate, int(inside.sum()))
+            before = w[-1]
         return self
 
-    def score(self, ids: np.ndarray, bounds: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    def score(self, ids: np.ndarray, bounds: np.ndarray, block: int = 1 << 15) -> np.ndarray:
         """Natural log probability of each document `ids[bounds[i]:bounds[i + 1]]`, its state carried to its end.
 
         Documents go side by side, the longest first; outputs are worked out for

@@ -5,8 +5,8 @@ the word's 64-bit hash.  Words above a count that at most TOP words reach go to
 tasks; the counts of the others come by a join, so every count is exact and nothing
 that grows with the corpus is broadcast.  The base score is the add-0.1 unigram; the
 model is a gated recurrent network over the VOCABULARY most frequent words, trained
-on at most SAMPLE documents, whose probability of a word outside its vocabulary is
-shared out as the unigram does.
+on every word of all training documents, in the tasks that read them; its probability
+of a word outside its vocabulary is shared out as the unigram does.
 
 Defined cases: a null or empty text is one end token; rows that repeat an id are
 scored as rows; null ids are scored and never trained on; without training rows N
@@ -23,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gru import SLOTS, Gru
+from .gru import SLOTS, Gru, Moments
 from .scratch import cut, fold
 from .textnp import SPACE, Words, batches, sums
 
 FOLDS = 10
 TOP = 1 << 19
 VOCABULARY = 2048
-HIDDEN = 24
-SAMPLE = 500
+HIDDEN = 16
+#: Adam's rates, one for each round of training.
+RATES = (4e-3, 2e-3, 1e-3)
+#: Words that a task holds at a time in training.
+CHUNK = 1 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 ADDED = 0.1
 
@@ -56,6 +59,10 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return at, self.keys[at] == hashes
 
+    def network_ids(self, hashes: np.ndarray) -> np.ndarray:
+        at, there = self.find(hashes)
+        return np.where(there, self.ids[at], 0).astype(np.int64) if len(self.ids) else np.zeros(len(hashes), dtype=np.int64)
+
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each with its end, and their bounds."""
@@ -120,27 +127,68 @@ def shares(known: Frequent, vocabulary: int) -> np.ndarray:
     return out / out.sum()
 
 
-def learn(docs: DataFrame, known: Frequent, sample: int = SAMPLE, vocabulary: int = VOCABULARY, hidden: int = HIDDEN) -> Gru:
-    """The network, trained on about `sample` whole documents chosen by a hash of their ids."""
-    model = Gru.start(shares(known, vocabulary), hidden)
-    n = docs.count()
-    if not n:
-        return model
-    spread = 1 << 30
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(spread)) < int(spread * min(1.0, sample / n)))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def learn(docs: DataFrame, known: Frequent, vocabulary: int = VOCABULARY, hidden: int = HIDDEN, rates: tuple[float, ...] = RATES) -> Gru:
+    """The network, trained once on every word of every row of docs(doc_id, text).
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches(it):
-            h, bounds = tokens(texts)
-            at, there = shared.value.find(h)
-            ids = np.where(there, shared.value.ids[at] if len(shared.value.ids) else 0, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
-
-    rows = chosen.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>").toArrow()  # bounded by the sample
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    lists = [np.asarray(rows["ids"][int(i)].values) for i in order]
-    return model.train(lists)
+    There is a round for each of `rates`, over the documents whose ids' hash falls to it.
+    In a round each task starts from the same weights, trains on the documents of
+    its partition, some `CHUNK` words at a time, and returns its weights; their mean,
+    weighted by words, starts the next round.  Weights are added up in about as many
+    tasks as the root of the number of partitions, so few come to the driver.
+    """
+    model = Gru.start(shares(known, vocabulary), hidden)
+    spark = docs.sparkSession
+    groups = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
+    for turn, rate in enumerate(rates):
+        shared = spark.sparkContext.broadcast((known, model))
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            seen, start = shared.value
+            net = Gru({k: v.copy() for k, v in start.p.items()})
+            moments, held, size, total = Moments(net.p), [], 0, 0
+            for _, texts in batches(it):
+                h, bounds = tokens(texts)
+                ids = seen.network_ids(h)
+                held += [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                size += len(ids)
+                if size >= CHUNK:
+                    net.train(held, rate, moments=moments)
+                    held, total, size = [], total + size, 0
+            net.train(held, rate, moments=moments)
+            total += size
+            if total:
+                yield weighed(total, {k: v * np.float64(total) for k, v in net.p.items()})
+
+        def add(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total, sums_of = 0, {}
+            for b in it:
+                for n, data in zip(b.column("n").to_pylist(), b.column("weights").to_pylist(), strict=True):
+                    total += n
+                    for k, v in unweighed(data, shared.value[1]).items():
+                        sums_of[k] = sums_of.get(k, 0) + v
+            if total:
+                yield weighed(total, sums_of)
+
+        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(len(rates))) == turn).select("text")
+        trained = part.mapInArrow(run, "n long, weights binary").repartition(groups).mapInArrow(add, "n long, weights binary").collect()  # a row for each group
+        total = sum(r.n for r in trained)
+        if total:
+            parts = [unweighed(r.weights, model) for r in trained]
+            model = Gru({k: (sum(x[k] for x in parts) / total).astype(np.float32) for k in model.p})
+    return model
+
+
+def weighed(n: int, weights: dict[str, np.ndarray]) -> pa.RecordBatch:
+    data = b"".join(weights[k].astype("<f4").tobytes() for k in sorted(weights))
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["n", "weights"])
+
+
+def unweighed(data: bytes, like: Gru) -> dict[str, np.ndarray]:
+    flat, out, at = np.frombuffer(data, "<f4").astype(np.float64), {}, 0
+    for k in sorted(like.p):
+        out[k] = flat[at : at + like.p[k].size].reshape(like.p[k].shape)
+        at += like.p[k].size
+    return out
 
 
 def score(docs: DataFrame, folds: int = FOLDS, top: int = TOP, vocabulary: int = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
