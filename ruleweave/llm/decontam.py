@@ -9,7 +9,8 @@ possible starts; the second-rarest term's postings, adjusted in the same way, ar
 intersected with them, and then those of all others.  A start that every term has
 is an exact match; with a slop, terms may each be that far from their place.
 
-All of it is DataFrame code.  Sides are broadcast only after a count of a written
+The index has the terms of one benchmark: another benchmark needs another pass.  All of
+it is DataFrame code.  Sides are broadcast only after a count of a written
 table; larger ones are shuffled on document and position, which no frequent term or
 passage can heat.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .scratch import cut, small
 
 SIZE = 10
+#: Words of a phrase at most: their places are bits of a long.
+MOST = 63
 #: What parts words, after A-Z are lower-cased.
 PARTS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,7 +78,7 @@ def _looked_up(found: DataFrame, index: DataFrame, needed: DataFrame, slop: int)
 
 
 def matches(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
-    """doc_id, tie, wid, start, n: where each phrase (wid, words, n) stands; at most 63 words a phrase."""
+    """doc_id, tie, wid, start, n: where each phrase (wid, words, n) of at most MOST words stands."""
     frequency = index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     terms = phrases.select("wid", "n", F.posexplode("words").alias("k", "term")).join(frequency, "term")
     whole = Window.partitionBy("wid")
@@ -95,6 +98,8 @@ def matches(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, slop: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, tie, n_words, n_hit, n_items, items_sha256, contaminated for each row of `docs`."""
+    if not 1 <= size <= MOST:
+        raise ValueError(f"a window has 1 to {MOST} words, not {size}")
     phrases, holders = windows(items, size)
     index = cut(postings(docs, phrases.select(F.explode("words").alias("term")), text, key), "postings")
     found = cut(matches(index, phrases, slop), "matches")

@@ -3,8 +3,12 @@
 Each language has an interpolated Kneser-Ney model of the characters of its words.
 A text gets the language with the lowest cross-entropy per character over all its
 words, and a share of belief from the differences.  It is rejected where even the
-best model finds it less likely than nearly all texts of that language that were
-set aside to calibrate, given its length.
+best model finds it less likely than texts of that language are: its cross-entropy is
+compared with those of texts set aside, in deviations that allow for its length, and
+the limit lies between two points: where FALSE of known texts would be rejected (beyond
+what the texts set aside show, so their tail, from the 90th to the 99th percentile, is
+drawn out), and where three quarters of the same texts would be if their own language
+were not known, so that the next best model had to do.
 
 The models learn from at most `DOCS` documents of each language; that bound is for
 fitting alone, and every text is scored whole.
@@ -34,8 +38,8 @@ ORDER = 5
 NONE = "und"
 #: Belief grows with evidence, but neighbouring characters are not independent.
 TEMPER = 0.3
-#: Standard deviations over a language's usual cross-entropy at which a text is rejected.
-REJECT = 8.0
+#: The share of texts in known languages that may be rejected.
+FALSE = 1e-5
 
 
 @dataclass
@@ -44,11 +48,13 @@ class Languages:
     #: by language: mean cross-entropy, deviation of documents, deviation of one character
     mean: np.ndarray
     spread: np.ndarray
+    #: deviations above the mean at which a text is rejected
+    bar: float = np.inf
     #: words that this worker process has scored, in whatever task
     memo: Memo = field(default_factory=Memo)
 
-    def limit(self, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        return self.mean[best] + REJECT * np.sqrt(self.spread[best] ** 2 + 2 / np.maximum(chars, 1))
+    def deviations(self, h: np.ndarray, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        return (h - self.mean[best]) / np.sqrt(self.spread[best] ** 2 + 2 / np.maximum(chars, 1))
 
 
 def entropies(words: Words, known: Languages) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +86,30 @@ def fit(docs: DataFrame, folds: int = 5, per_language: int = DOCS) -> Languages:
             h, chars = entropies(Words(texts, NON_LETTER), shared.value)
             own = [names.index(c) if c in names else -1 for c in batch.column("class").to_pylist()]
             keep = [i for i, c in enumerate(own) if c >= 0 and chars[i] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int32()), pa.array([h[i, own[i]] for i in keep], pa.float64()), pa.array([chars[i] for i in keep], pa.float64())], ["language", "h", "chars"])
-
-    seen = sample.where("held").select("class", "text").mapInArrow(run, "language int, h double, chars double").toPandas()  # bounded by the sample
+            mine, own = h[keep].copy(), np.array([own[i] for i in keep], dtype=np.int64)
+            rows = np.arange(len(keep))
+            first = mine[rows, own]
+            mine[rows, own] = np.inf
+            second = mine.argmin(axis=1) if len(keep) else own
+            columns = [own.astype(np.int32), first, second.astype(np.int32), mine[rows, second], chars[keep].astype(float)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["language", "h", "other", "other_h", "chars"])
+
+    seen = sample.where("held").select("class", "text").mapInArrow(run, "language int, h double, other int, other_h double, chars double").toPandas()  # bounded by the sample
     mean, spread = np.full(len(classes), 1.0), np.full(len(classes), 0.2)
     for c in range(len(classes)):
         h = seen.h[(seen.language == c) & (seen.chars >= 100)].to_numpy()
         if len(h) >= 5:
             mean[c] = np.median(h)
-            spread[c] = max(0.01, 1.4826 * np.median(np.abs(h - mean[c])), np.quantile(h, 0.99) - mean[c])
-    return Languages(model, mean, spread)
+            spread[c] = max(0.01, 1.4826 * np.median(np.abs(h - mean[c])))
+    known = Languages(model, mean, spread)
+    if len(seen) >= 20:
+        z = known.deviations(seen.h.to_numpy(), seen.language.to_numpy(), seen.chars.to_numpy())
+        some, few = np.quantile(z, [0.9, 0.99])
+        known.bar = float(few + max(few - some, 0.5) * np.log10(0.01 / FALSE))
+        if len(classes) > 1:
+            foreign = known.deviations(seen.other_h.to_numpy(), seen.other.to_numpy(), seen.chars.to_numpy())
+            known.bar = max(known.bar, float(known.bar + np.quantile(foreign, 0.25)) / 2)
+    return known
 
 
 def decisions(texts: list[str | None], known: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +125,7 @@ def decisions(texts: list[str | None], known: Languages) -> tuple[np.ndarray, np
         best = np.where(letters, h.argmin(axis=1), n)
         score = np.where(letters, 1 / belief.sum(axis=1), 0)
         entropy = np.where(letters, lowest, np.nan)
-        out = ~letters | (lowest > known.limit(np.minimum(best, n - 1), chars))
+        out = ~letters | (known.deviations(lowest, np.minimum(best, n - 1), chars) > known.bar)
     return best, score, out, entropy
 
 
