@@ -3,9 +3,11 @@
 A page is read into a tree in one pass.  Every paragraph has points for its length
 and its commas; it passes them to its parent, and a falling share to the ancestors
 above.  A container's points are discounted by its link density; the best one is
-kept, with the siblings that score like it, or the article or main element around
-it.  Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles are known by their elements, roles and class names and give no points.
+kept, with the siblings that score like it.  Menus, headers, footers, sidebars,
+notices, adverts, forms, comments, scripts and styles are known by their elements,
+roles and class names, when a name says nothing else, and give no points.  A name that
+says other things too (`related-work`) halves the points of what it stands on; that
+stays out unless it has paragraphs enough to score.
 
 Defined cases: a null or empty page, and one without text, gives an empty text;
 unclosed elements end where their parent ends, paragraphs also where a new block
@@ -37,25 +39,34 @@ LEAF = frozenset("p li td th pre h1 h2 h3 h4 h5 h6 blockquote dd dt figcaption".
 JUNK_TAGS = frozenset("nav footer aside form button select option fieldset menu dialog object canvas svg head".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 JUNK_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-KEEP = frozenset(["article", "main"])
+#: Words of names that say nothing of what an element holds.
+PLAIN_NAMES = frozenset("area bar block body bottom box btn button buttons col column container content group head icon inner item items left link links list main of outer page panel post right row section site static sticky text the thread title top wrap wrapper".split())
+ARTICLE = frozenset(["article", "main"])
 DENSE = 0.6
+#: Points below which a doubtful part stays out: about two paragraphs of a few lines.
+DOUBTFUL = 6.0
+NO, MAYBE, YES = 0, 1, 2
 
 
-def _junk(tag: str, attributes: str, inside: bool) -> bool:
+def _junk(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element is no part of the article: NO, MAYBE or YES."""
     if tag in JUNK_TAGS or (tag == "header" and not inside):
-        return True
+        return YES
     if not attributes:
-        return False
+        return NO
+    found = YES if HIDDEN.search(attributes) else NO
     for name, a, b, c in NAMED.findall(attributes):
         value = a or b or c
         if name.lower() == "role":
             if value.lower() in JUNK_ROLES:
-                return True
+                return YES
         elif tag not in ("body", "html", "article", "main"):
-            words = {w.lower() for w in PART.findall(value)}
-            if words & JUNK_NAMES or ("header" in words and not inside):
-                return True
-    return bool(HIDDEN.search(attributes))
+            for one in value.split():
+                words = {w.lower() for w in PART.findall(one)} - PLAIN_NAMES
+                junk = words & JUNK_NAMES or ("header" in words and not inside and {"header"})
+                if junk:
+                    found = max(found, YES if words <= junk else MAYBE)
+    return found
 
 
 class Page:
@@ -63,7 +74,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent = ["html"], [0]
-        self.junk, self.inside = [False], [False]
+        self.junk, self.maybe, self.inside = [False], [False], [False]
         #: (element, text, characters inside links)
         self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
@@ -148,11 +159,13 @@ class Page:
             if m[3].endswith("/") and not inline:
                 continue
             up = open_[-1]
-            inside = self.inside[up] or name in KEEP
+            inside = self.inside[up] or name in ARTICLE
+            kind = NO if name in ("html", "body") else _junk(name, m[3], self.inside[up])
             self.tag.append(name)
             self.parent.append(up)
             self.inside.append(inside)
-            self.junk.append(self.junk[up] or (name not in ("html", "body") and _junk(name, m[3], self.inside[up])))
+            self.junk.append(self.junk[up] or kind == YES)
+            self.maybe.append(kind == MAYBE)
             open_.append(len(self.tag) - 1)
             links += name == "a"
         flush()
@@ -175,23 +188,19 @@ class Page:
             size[self.parent[e]] += size[e]
             linked[self.parent[e]] += linked[e]
         for e in range(n):
-            points[e] *= 1 - linked[e] / max(1, size[e])
+            points[e] *= (1 - linked[e] / max(1, size[e])) * (0.5 if self.maybe[e] else 1)
         if not self.blocks:
             return []
         best = max(range(n), key=lambda e: (points[e], -e))
-        kept, up = {best}, best
-        while up and self.tag[up] not in KEEP:
-            up = self.parent[up]
-        if up:
-            kept = {up}
-        elif best:
+        kept = {best}
+        if best:
             bar = max(5.0, 0.2 * points[best])
             kept |= {e for e in range(1, n) if self.parent[e] == self.parent[best] and (points[e] >= bar or self._speaks(e, size, linked))}
         held, lists = [False] * n, [False] * n
         for e in range(n):
             held[e] = e in kept or (e > 0 and held[self.parent[e]])
             dense = self.tag[e] in ("ul", "ol", "dl", "table") and linked[e] > DENSE * size[e]
-            lists[e] = dense or (e > 0 and lists[self.parent[e]])
+            lists[e] = dense or (self.maybe[e] and points[e] < DOUBTFUL) or (e > 0 and lists[self.parent[e]])
         return [t for e, t, _ in self.blocks if held[e] and not lists[e]]
 
     def _speaks(self, e: int, size: list[int], linked: list[int]) -> bool:

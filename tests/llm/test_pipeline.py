@@ -40,7 +40,7 @@ def test_pipeline(spark, docs, tmp_path):
     left = {i for i, _ in ids["toxicity"]}
     assert len(toxic & left) <= 2 and len({i for i, _ in some} - toxic - left) <= 2
     assert {i for i, _ in ids["language"]} == left - {402}
-    wanted = {c for d, _, c in brute_components(ids["language"]) if d is not None} | ({None} & {i for i, _ in ids["language"]})
+    wanted = {c for d, _, c in brute_components(ids["language"], 80) if d is not None} | ({None} & {i for i, _ in ids["language"]})
     assert sorted(ids["near_duplicates"], key=str) == sorted({x for x in ids["language"] if x[0] in wanted}, key=str)
     clean = [d for d, _, _, _, _, hit in brute_windows(ids["near_duplicates"], benchmark) if not hit]
     assert sorted(map(str, clean)) == sorted(str(i) for i, _ in ids["decontamination"])

@@ -88,12 +88,59 @@ def test_html():
     assert len(html_text.main_text("<article>" + "<p>word, " * 20_000)) == 20_000 * 6 - 1
 
 
+def made_page(r):
+    """(html, blocks of the article) of a page without an article element, in one of several layouts."""
+
+    def sentence(n):
+        return " ".join(r.choice(WORDS) + ("," if r.random() < 0.15 else "") for _ in range(n)).strip(",") + "."
+
+    wrap = r.choice([("<div class=content>", "</div>"), ("<section id=story>", "</section>"), ("<div><div class='entry-body'>", "</div></div>")])
+    blocks, parts = [], []
+    for k in range(r.randint(3, 9)):
+        t = sentence(r.randint(25, 90))
+        kind = r.choice(["p", "p", "p", "h2", "ul", "named"])
+        if kind == "h2":
+            t = " ".join(r.choice(WORDS) for _ in range(5))
+            parts.append(f"<h2>{t}</h2>")
+        elif kind == "ul":
+            parts.append(f"<ul><li>{t}</li></ul>")
+        elif kind == "named":
+            t = " ".join(sentence(60) for _ in range(6))
+            parts.append(f'<div class="{r.choice(["social-history", "related-work"])}"><p>{t}</p></div>')
+        else:
+            parts.append(f"<p>{t}</p>")
+        blocks.append(t)
+    links = "".join(f"<li><a href=/{i}>{r.choice(WORDS)}</a></li>" for i in range(8))
+    junk = [f'<div class="{r.choice(["sidebar-left", "ad-box", "newsletter", "cookie-notice", "related-posts"])}"><p>{sentence(9)}</p><ul>{links}</ul></div>', f"<div id=comments><p>{sentence(40)}</p><p>{sentence(60)}</p></div>", f"<form><p>{sentence(12)}</p></form>"]
+    inner = list(parts)
+    inner.insert(r.randint(1, len(inner)), f'<div class="share-buttons"><a href=x>{r.choice(WORDS)}</a></div>')
+    body = wrap[0] + "".join(inner) + wrap[1]
+    rest = [f"<nav><ul>{links}</ul></nav>", f"<div class=site-header><h1>{sentence(4)}</h1></div>", body, *r.sample(junk, 2), f"<footer>{sentence(15)}</footer>"]
+    return f"<html><head><title>x</title><script>var a = '<p>no</p>';</script></head><body>{''.join(rest)}</body></html>", blocks
+
+
+def test_html_blocks_without_article_elements():
+    """Nearly all words of the articles, and nearly no others, in pages of several layouts."""
+    r = random.Random(12)
+    same = found = wanted = 0
+    for _ in range(120):
+        page, blocks = made_page(r)
+        got, want = Counter(html_text.main_text(page).split()), Counter(" ".join(blocks).split())
+        same += sum((got & want).values())
+        found += sum(got.values())
+        wanted += sum(want.values())
+    assert same / wanted > 0.97 and same / found > 0.97, (same / wanted, same / found)
+    deep = "<div>" * 3000 + "<p>" + "word, " * 40
+    assert html_text.main_text(deep) == ("word, " * 40).strip()
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>Hé", "y")], "page_id long, url string, html string, text string")
     assert rows(html_text.extract(pages), "page_id", "url", "text", "n_chars") == [(1, "u", "", 0), (2, None, "Hé", 2)]
+    assert html_text.extract(pages.where("false")).count() == 0
 
 
-def brute_components(some):
+def brute_components(some, share=85):
     """Component ids by comparing all pairs of full sets."""
     sets = []
     for _, t in some:
@@ -107,7 +154,7 @@ def brute_components(some):
         return i
 
     for i, j in combinations(range(len(some)), 2):
-        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
             root[max(of(i), of(j))] = min(of(i), of(j))
     least = {}
     for i, (d, _) in enumerate(some):
@@ -130,20 +177,28 @@ def near_copies():
     return some
 
 
-def test_near_duplicates(docs):
+@pytest.mark.parametrize("share", [80, 85])
+def test_near_duplicates(docs, share):
     some = near_copies()
-    got = rows(minhash.near_duplicates(docs(some)), "doc_id", "n_shingles", "component_id")
-    assert got == sorted(brute_components(some), key=lambda t: tuple((x is None, x) for x in t))
+    got = rows(minhash.near_duplicates(docs(some), share), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute_components(some, share), key=lambda t: tuple((x is None, x) for x in t))
     assert minhash.near_duplicates(docs([])).count() == 0
     kept = minhash.near_duplicates(docs(some)).where("kept <> (doc_id = component_id)").count()
     assert kept == 0
 
 
+def test_shape():
+    assert minhash.shape(85) == (6, 32) and minhash.shape(80) == (5, 38)
+    for share in range(50, 100):
+        rows, bands = minhash.shape(share)
+        assert rows * bands % 2 == 0 and (1 - (share / 100) ** rows) ** bands <= minhash.MISSED and rows * bands <= minhash.MOST
+
+
 def test_min_max_estimates():
     """Signatures agree as often as sets do, for minima and maxima."""
     a, b = ([f"w{i}" for i in range(k, k + 4000)] for k in (0, 400))
     s, at = minhash.distinct(*textnp.shingles(textnp.Words([" ".join(a), " ".join(b)])))
-    sig = minhash.min_max(s, at)
+    sig = minhash.min_max(s, at, 96)
     assert abs((sig[0] == sig[1]).mean() - 3596 / 4396) < 0.12
     assert minhash.parity_maps(s, at).shape == (2, minhash.MAP)
 
@@ -219,6 +274,15 @@ def test_languages(docs):
     assert kept.columns == docs(some).columns and kept.count() == len(languages()) + 1
 
 
+def test_rejected_languages(docs):
+    """Texts of a language that is left out of fitting are rejected; those of the others are not."""
+    some = languages()
+    given = [(i, t, k if k != "cc" else None) for i, t, k in some]
+    got = {r.doc_id: r.rejected for r in langid.identify(docs(given)).collect()}
+    assert np.mean([got[i] for i, _, k in some if k == "cc"]) > 0.9
+    assert not any(got[i] for i, _, k in some if k != "cc")
+
+
 def test_toxicity(spark, docs):
     r = random.Random(4)
     bad = ["nasty", "vile", "rotten"]
@@ -265,11 +329,83 @@ def test_pair_counts(spark):
     sample = spark.createDataFrame([(str(k), t, False) for t, k in some], "class string, text string, held boolean")
     got = training.pair_counts(sample, textnp.NON_LETTER, ["0", "1"])
     before, word, counts, hashes, words = pairs_of(some)
-    assert {(b, w, *n) for b, w, n in zip(*(x.tolist() for x in got), strict=True)} == {(b, w, *n) for b, w, n in zip(before.tolist(), word.tolist(), counts.tolist(), strict=True)}
+    often = counts.sum(axis=1) > 1
+    want = {(b, w, *n) for b, w, n in zip(before[often].tolist(), word[often].tolist(), counts[often].tolist(), strict=True)}
+    assert {(b, w, *n) for b, w, n in zip(got.before.tolist(), got.word.tolist(), got.of_pair.tolist(), strict=True)} == want
+    for keys, found, of in ((word, got.words, got.of_word), (before, got.contexts, got.of_context)):
+        assert found.tolist() == sorted(set(keys.tolist()))
+        assert of.tolist() == [[float(sum(counts[keys == x, k])) for k in (0, 1)] for x in found]
     spelt = training.spellings(sample, textnp.NON_LETTER)
     assert spelt[0].tolist() == hashes.tolist() and spelt[1] == words
 
 
+def test_toxicity_model_against_plain_dictionaries():
+    """Each level by its definition, over dictionaries; every level is a distribution."""
+    r = random.Random(8)
+    some = [(" ".join(["awful words"[: r.choice([5, 11])]] * (k % 3 == 0) + [r.choice(WORDS[:60]) for _ in range(20)] + ["awful"] * (k % 3 == 0)), int(k % 3 == 0)) for k in range(200)]
+    before, word, counts, hashes, names = pairs_of(some)
+    found = {}
+
+    def spell(columns):
+        spelt = np.full((len(hashes) + 1, 2), 1e-300)
+        at = np.searchsorted(np.sort(np.append(hashes, training.BEGIN)), hashes)
+        columns = columns[at]
+        chars = kneser_ney.CharModel.fit(names, columns, ["all", "telling"], 3)
+        spelt[at] = 10.0 ** chars.score(names)
+        found.update(columns=columns, spelt={w: tuple(x) for w, x in zip(hashes.tolist(), spelt[at])})
+        return chars, spelt
+
+    often = counts.sum(axis=1) > 1
+
+    def totals(keys):
+        found = np.unique(keys)
+        return found, np.array([counts[keys == x].sum(axis=0) for x in found])
+
+    model = toxicity.estimate(training.PairCounts(*totals(word), *totals(before), before[often], word[often], counts[often]), spell)
+    pair = {(b, w): tuple(n) for b, w, n in zip(before.tolist(), word.tolist(), counts.tolist(), strict=True)}
+    own = {w: [sum(n[k] for (_, x), n in pair.items() if x == w) for k in (0, 1)] for w in hashes.tolist()}
+    total = [sum(n[k] for n in own.values()) for k in (0, 1)]
+    one = dict(zip(own, np.column_stack([toxicity.specific(np.array([n[k] for n in own.values()]), np.array([sum(n) for n in own.values()]), np.full(len(own), total[k] / sum(total))) for k in (0, 1)]), strict=True))
+    left = {w: sum(own[w]) - one[w].sum() for w in own}
+    less = dict(zip(left, toxicity.less_discount(np.array(list(left.values()))), strict=True))
+    shared = {w: less[w] / sum(left.values()) + (1 - sum(less.values()) / sum(left.values())) * found["spelt"][w][0] for w in own}
+    tells = sum(one[w][1] for w in own if 2 * one[w][1] > own[w][1]) / total[1]
+    free = [1 - sum(x[k] for x in one.values()) / total[k] for k in (0, 1)]
+    base = {w: (shared[w], (1 - tells) * shared[w] + tells * found["spelt"][w][1]) for w in own}
+    level = {w: [one[w][k] / total[k] + free[k] * base[w][k] for k in (0, 1)] for w in own}
+    assert tells > 0 and {w for w in own if 2 * one[w][1] > own[w][1]} <= {textnp.Words([x]).hash[0] for x in ("awful", "words")}
+    context = {b: [sum(n[k] for (x, _), n in pair.items() if x == b) for k in (0, 1)] for b in before.tolist()}
+    keys = [k for k, n in pair.items() if sum(n) > 1]
+    part = np.array([[context[b][k] * level[w][k] for k in (0, 1)] for b, w in keys])
+    part /= part.sum(axis=1, keepdims=True)
+    n = np.array([pair[k] for k in keys])
+    kept = np.column_stack([toxicity.specific(n[:, k], n.sum(axis=1), part[:, k]) for k in (0, 1)])
+    over = n.sum(axis=1) - kept.sum(axis=1)
+    after = toxicity.less_discount(over)
+    text_of = dict(zip(hashes.tolist(), names, strict=True))
+
+    def ratio(b, w):
+        mine = [i for i, (x, _) in enumerate(keys) if x == b]
+        both = sum(context[b]) - sum(kept[i].sum() for i in mine)
+        second = {keys[i][1]: after[i] / both for i in mine}
+        rest = 1 - sum(second.values())
+        out = []
+        for k in (0, 1):
+            def tilted(v, k=k):
+                return (second.get(v, 0) + rest * shared[v]) * level[v][k] / shared[v]
+
+            z = sum(second[v] * level[v][k] / shared[v] for v in second) + rest
+            keep = {keys[i][1]: kept[i, k] / max(1, context[b][k]) for i in mine}
+            out.append(keep.get(w, 0) + (1 - sum(keep.values())) * tilted(w) / z)
+        return math.log(out[1] / out[0])
+
+    for t, _ in some[:12]:
+        w = textnp.Words([t], textnp.NON_LETTER)
+        h = w.hash.tolist()
+        want = [ratio(b, x) for b, x in zip([int(training.BEGIN), *h[:-1]], h, strict=True)]
+        assert np.allclose(model.each(w), want, atol=1e-5), [text_of[x] for x in h]
+
+
 def found_of(spark, docs, some):
     """(share of toxic texts found, share of ordinary ones taken) of held-out (text, toxic)."""
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(some)], "doc_id long, toxic int")
@@ -312,20 +448,30 @@ def test_phrases_and_mild_texts(spark, docs):
 def test_audio(spark, docs, tmp_path):
     some = ODD + [(50, "é" * 32), (51, "a" * 64), (52, text(4000))]
     audio.write_media(docs(some), str(tmp_path / "m"))
-    got = audio.described(spark.read.parquet(str(tmp_path / "m"))).collect()
-    assert len(got) == len(some)
-    want = {}
+    audio.write_features(spark.read.parquet(str(tmp_path / "m")), str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    got = stored.collect()
+    marks = audio.digests(stored).collect()
+    assert len(got) == len(some) and Counter((r.doc_id, r.payload_sha256) for r in got) == Counter((r.doc_id, r.payload_sha256) for r in marks)
+    feature = {r.payload_sha256: r.feature for r in marks}
+    want, payloads = {}, []
     for i, t in some:
         raw = (t or "").encode()
         p = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        payloads.append(p)
         want.setdefault(i, []).append((len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + 44, hashlib.sha256(audio.wav(p)).hexdigest()))
     for r in got:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) in want[r.doc_id]
         table = pa.ipc.open_stream(r.segments).read_all()
         kind = table.schema.field("bands").type
-        assert kind.shape == [8, 32] and table.num_rows == int(r.feature.split("x")[0])
+        assert kind.shape == [8, 32] and table.num_rows == int(feature[r.payload_sha256].split("x")[0])
         assert all(a < b for a, b in zip(table["start"].to_pylist(), table["end"].to_pylist()))
-    assert len({r.feature for r in got if r.doc_id in (4, 8)}) == 1
+        spans, tensors = audio.features(audio.samples(audio.wav(next(p for p in payloads if hashlib.sha256(p).hexdigest() == r.payload_sha256))))
+        back = audio.read_stream(r.segments)
+        assert np.array_equal(back[0], spans) and np.array_equal(back[1], tensors.astype(np.float16))
+    assert len({r.feature for r in marks if r.doc_id in (4, 8)}) == 1
+    audio.write_media(docs([]), str(tmp_path / "none"))
+    assert audio.digests(audio.described(spark.read.parquet(str(tmp_path / "none")))).count() == 0
 
 
 def test_audio_parts():
@@ -376,6 +522,14 @@ def test_contamination(spark, docs):
     assert rows(decontam.contamination(docs(some[:4]), table.where("false")), "n_hit") == [(0,)] * 4
 
 
+def test_long_windows(spark, docs):
+    table = spark.createDataFrame([(1, text(80))], "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontam.contamination(docs([]), table, size=64)
+    whole = table.first().text
+    assert rows(decontam.contamination(docs([(1, f"x {whole}"), (2, " ".join(whole.split()[:62]))]), table, size=63), "doc_id", "n_hit") == [(1, 80), (2, 0)]
+
+
 def test_proximity(spark, docs):
     table = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     some = [(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha x y z beta gamma"), (4, "beta gamma")]
@@ -415,16 +569,72 @@ def test_gru():
     one = [net.score(ids[i:j], np.array([0, j - i]))[0] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     assert np.allclose(before, one, atol=1e-2)
     assert np.allclose(net.score(ids, bounds, block=7), before, atol=1e-2)
-    after = net.train(lists, lanes=4, window=8, epochs=4).score(ids, bounds)
+    after = net.train(lists * 8, rate=2e-2, window=8, most=4).score(ids, bounds)
     assert after[0] > 0.5 * before[0]
 
 
+def plain_score(net, ids):
+    """A document's log probability word by word, in plain double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n, h, total, before = net.hidden, np.zeros(net.hidden), 0.0, None
+    for w in ids:
+        if before is not None:
+            x, a = p["e"][before] @ p["w"] + p["b"], h @ p["u"]
+            z, r = (1 / (1 + np.exp(-(x + a)[i * n : (i + 1) * n])) for i in (0, 1))
+            h = (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :]) + z * h
+        kind, slot = divmod(int(w), gru.SLOTS)
+        for logits, k in ((h @ p["cw"] + p["cb"], kind), (h @ p["ww"][kind] + p["wb"][kind], slot)):
+            total += logits[k] - np.log(np.exp(logits).sum())
+        before = w
+    return total
+
+
+def test_gru_against_plain_forward_and_differences():
+    """Scores of whole documents, and gradients of a window with short lanes and new documents in it."""
+    rng = np.random.default_rng(4)
+    net = gru.Gru.start(np.full(128, 1 / 128), 5)
+    lists = [rng.integers(0, 128, n) for n in (1, 7, 90, 400)]
+    bounds = np.cumsum([0, *map(len, lists)])
+    assert np.allclose(net.score(np.concatenate(lists), bounds), [plain_score(net, x) for x in lists], rtol=1e-5)
+    ids, fresh = rng.integers(0, 128, (6, 3)), np.zeros((6, 3), dtype=bool)
+    fresh[0, 0] = fresh[3, 1] = True
+    inside = np.arange(6)[:, None] < [6, 5, 2]
+    before, h = rng.integers(0, 128, 3), rng.standard_normal((3, 5)).astype(np.float32)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    g = net.lost(ids, fresh, inside, before, h)[0]
+    for k, v in net.p.items():
+        for at in [tuple(rng.integers(0, n) for n in v.shape) for _ in range(4)] + ([(int(before[1]), 2), (int(ids[1, 0]), 1)] if k == "e" else []):
+            v[at] += 1e-3
+            up = net.lost(ids, fresh, inside, before, h)[2]
+            v[at] -= 2e-3
+            down = net.lost(ids, fresh, inside, before, h)[2]
+            v[at] += 1e-3
+            assert abs(-(up - down) / 2e-3 - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), (k, at)
+
+
+def test_gru_trains_all_words():
+    """One document, lanes of unequal lengths, and fewer documents than lanes: every word is trained once."""
+    for sizes in ([5000], [3, 2000, 1, 40, 900], [23] * 31):
+        net, seen = gru.Gru.start(np.full(64, 1 / 64), 4), []
+        plain = net.lost
+        net.lost = lambda ids, fresh, inside, before, h: (seen.append((int(inside.sum()), int(fresh[inside].sum()))), plain(ids, fresh, inside, before, h))[1]
+        net.train([np.arange(n) % 64 for n in sizes], most=8)
+        assert sum(a for a, _ in seen) == sum(sizes) and sum(b for _, b in seen) == len(sizes)
+
+
+def test_lm_learns_from_all_partitions(docs):
+    """A pattern in many small documents is learnt, however few there are in a partition."""
+    some = docs([(i, "a b c d e f g h " * 30) for i in range(40)] + [(100 + i, text(50)) for i in range(40)])
+    got = [r for r in lm.score(some.repartition(5), vocabulary=64).collect() if r.doc_id < 40 and r.held_out]
+    assert got and all(r.score > r.base_score for r in got)
+
+
 def test_gru_gradients():
     net = gru.Gru.start(np.full(64, 1 / 64), 4)
     ids, states = np.array([5, 9, 60]), np.random.default_rng(2).standard_normal((3, 4)).astype(np.float32)
     g = {k: np.zeros_like(v) for k, v in net.p.items()}
     _, back = net.log_shares(states, ids, g)
-    for k, at in (("ww", (1, 9)), ("wb", (60,)), ("cw", (0, 0))):
+    for k, at in (("ww", (0, 1, 9)), ("wb", (0, 60)), ("cw", (0, 0))):
         net.p[k][at] += 1e-2
         up = -net.log_shares(states, ids)[0].sum()
         net.p[k][at] -= 2e-2
@@ -443,6 +653,11 @@ def test_shards(spark, docs, tmp_path):
         last = (r.shard, r.slot)
     order = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    largest = max(r.size for r in got)
+    assert all(abs(sizes[k] - sum(sizes.values()) / 7) <= largest for k in range(7))
     even = sharding.shard(docs([(i, "x" * 9) for i in range(160)]), 16).groupBy("shard").count().collect()
     assert {r[1] for r in even} == {10}
     assert sharding.shard(docs([])).count() == 0
