@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_small import brute_components, brute_windows, text
 
 import corpus_pipeline
@@ -47,3 +48,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert 400 not in clean and 401 not in clean
     assert {x.doc_id for x in kept["packing"].collect()} == set(clean)
     assert packing.sequences(kept["packing"]).count() == kept["packing"].select("sequence_id").distinct().count()
+
+
+def test_stages_on_empty_tables(spark, docs, tmp_path):
+    """Without labels, items or learnable languages nothing is dropped but repeated texts; without documents nothing comes out."""
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    some = docs([(None, "a b c"), (None, "a b c"), (None, "a b d"), (1, None), (2, "x y")]).withColumn("lang", F.lit(None).cast("string"))
+    kept = {"toxicity": 5, "language": 5, "near_duplicates": 4, "decontamination": 5, "packing": 5}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, some, folder).count() == kept[name], name
+        assert stage(spark, some.where("false"), folder).count() == 0, name
