@@ -12,7 +12,8 @@ is an exact match; with a slop, terms may each be that far from their place.
 The index has the terms of one benchmark: another benchmark needs another pass.  All of
 it is DataFrame code.  Sides are broadcast only after a count of a written
 table; larger ones are shuffled on document and position, which no frequent term or
-passage can heat.
+passage can heat.  Only a benchmark whose distinct terms are too many to broadcast (some
+hundred thousand) has its terms joined by a shuffle on the term, which AQE then splits.
 
 Defined cases: a null text has no words; a text of fewer words than a window is one
 window, and one without words has none; rows that repeat an id, or have none, are
@@ -79,7 +80,7 @@ def _looked_up(found: DataFrame, index: DataFrame, needed: DataFrame, slop: int)
 
 def matches(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     """doc_id, tie, wid, start, n: where each phrase (wid, words, n) of at most MOST words stands."""
-    frequency = index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = small(cut(index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "frequencies"))
     terms = phrases.select("wid", "n", F.posexplode("words").alias("k", "term")).join(frequency, "term")
     whole = Window.partitionBy("wid")
     ranked = terms.withColumn("rank", F.row_number().over(whole.orderBy("tf", "term", "k"))).withColumn("there", F.count(F.lit(1)).over(whole))
